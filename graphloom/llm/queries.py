@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_files
+from . import packing, simhash, token_files
 from .common import table
 
-WORD_TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_TOKENIZER), leading_space=True, end_id=0, capacity=2048)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +21,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digest(docs, public_tokenizers.path(WORD_TOKENIZER), leading_space=False, end_id=2)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), distance=4, shingle=4, seed=42)
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_token_files": op4_token_files,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}

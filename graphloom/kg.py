@@ -21,7 +21,7 @@ from .store import Files, GraphStore, IngestStatistics, now_text
 class Subgraph:
     """A named part of a graph: a schema and a source of documents. Subclasses give both."""
 
-    name = "subgraph"
+    name: str
 
     def schema(self) -> GraphSchema:
         raise NotImplementedError

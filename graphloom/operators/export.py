@@ -78,7 +78,7 @@ def graph_links(graph: Graph, types: list[str] | None = None, nodes: DataFrame |
 
 def merged_links(links: DataFrame) -> DataFrame:
     """One link for each (source, target, type): its weight is the number of edges."""
-    return links.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("weight"), F.max("properties.weight").alias("own_weight")) if False else links.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("weight"))
+    return links.groupBy("source", "target", "type").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def link_weight(properties: dict[str, str]) -> tuple[float, dict[str, float]]:

@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +74,6 @@ def fake_embedder(dimensions: int = 768) -> Embedder:
 
 def embed(rows: DataFrame, text_column: str = "text", embedder: Embedder | None = None) -> DataFrame:
     """rows with an embedding column; the embedder gets a batch of texts."""
-    import pandas as pd
-
     f = embedder or fake_embedder()
 
     @F.pandas_udf("array<float>")

@@ -41,8 +41,10 @@ def read_documents(spark: SparkSession, path: str, root: type, keys: list[str] |
     """JSON documents of a root class, one a file; the key is the file's name without its ending. Broken ones have
     _corrupt_record set."""
     schema = T.StructType([*source_type(root).fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    rows = rows.withColumn("_key", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1)
+    rows = files.select(key.alias("_key"), parsed.alias("_doc")).select("_key", "_doc.*")
     if keys is not None:
         rows = rows.filter(F.col("_key").isin(*keys))
     return with_order(rows)

@@ -8,7 +8,6 @@ table. The catalog goes through the Hadoop file system, so a store can lie where
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -19,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import DST, EID, ID, SRC, EdgeTable, Graph, NodeTable
-from .operators.extract import AT, extract_edges, extract_nodes, node_id
-from .operators.upsert import holds_something, merge_nodes, merge_statistics, resolved_edges
+from .operators.extract import AT, extract_edges, extract_nodes
+from .operators.upsert import merge_nodes, merge_statistics, resolved_edges
 from .schema import BOOKKEEPING, GraphSchema
+from .session import shared_dir
 
 
 def now_text() -> str:
@@ -90,7 +90,7 @@ class GraphStore(Graph):
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         super().__init__(spark)
-        self.path = (path or "file://" + tempfile.mkdtemp(prefix="graph-")).rstrip("/")
+        self.path = (path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}").rstrip("/")
         self.files = Files(spark)
         self.catalog: dict = {"nodes": {}, "edges": []}
         if self.files.exists(self.catalog_path):
@@ -355,8 +355,8 @@ def schema_warnings(schema: GraphSchema) -> None:
 
 
 def in_memory_store(spark: SparkSession) -> GraphStore:
-    """A store in a new temporary folder, for tests and trials on one machine."""
+    """A store in a new folder of its own, for tests and trials."""
     return GraphStore(spark)
 
 
-__all__ = ["Files", "GraphStore", "IngestStatistics", "in_memory_store", "node_id", "holds_something"]
+__all__ = ["Files", "GraphStore", "IngestStatistics", "in_memory_store"]

@@ -306,7 +306,9 @@ class Lowering:
         begin = next((i for i, n in enumerate(nodes) if n.variable in scope), None)
         if begin is None:
             begin = next((i for i, n in enumerate(nodes) if n.props), 0)
-            df = self.scan(df, scope, nodes[begin], labels[begin], needed=not path.edges)
+            first = path.edges[begin] if begin < len(path.edges) else path.edges[-1] if path.edges else None
+            if df is not None or first is None or first.variable_length or not self.bare(nodes[begin], labels[begin]):
+                df = self.scan(df, scope, nodes[begin], labels[begin])
         else:
             df = self.given(df, scope, nodes[begin])
         edges: list[Edge] = []
@@ -319,7 +321,7 @@ class Lowering:
                 df = self.many_hops(df, scope, nodes[a], e, nodes[b], labels[b])
                 parts[i] = None
             else:
-                df, parts[i] = self.hop(df, scope, nodes[a], e, nodes[b], labels[b])
+                df, parts[i] = self.hop(df, scope, nodes[a], e, nodes[b], labels[a], labels[b])
                 edges.append(parts[i])
         if path.variable:
             if any(p is None for p in parts.values()):
@@ -386,7 +388,12 @@ class Lowering:
             raise QueryError("no label fits this pattern")
         return out, node
 
-    def scan(self, df: DataFrame | None, scope: Scope, n: P.NodePattern, labels: tuple, needed: bool = True) -> DataFrame:
+    def bare(self, n: P.NodePattern, labels: tuple) -> bool:
+        """Whether only the node's identity is read, so that its edges can stand for it."""
+        props = {p for x in labels for p in self.graph.nodes[x].properties}
+        return bool(labels) and not n.props and not self.wanted(n.variable, list(props)) and not any(t.dangling for t in self.graph.edges)
+
+    def scan(self, df: DataFrame | None, scope: Scope, n: P.NodePattern, labels: tuple) -> DataFrame:
         if not labels:
             labels = self.labels_of(n)
             frame, node = self.node_frame(n.variable, labels)
@@ -430,7 +437,7 @@ class Lowering:
             if d == "in" and any(o is t and x == "out" for o, x in tables):
                 df = df.filter(src.cast("string") != dst.cast("string")) if t.source == t.target else df  # a loop counts once
             one = df.select(
-                (left if native_left else global_id(left_label, left)).alias(f"{name}$_a"), (right if native_right else global_id(right_label, right)).alias(f"{name}$_b"), F.lit(right_label).alias(f"{name}$_bl"),
+                (left if native_left else global_id(left_label, left)).alias(f"{name}$_a"), (right if native_right else global_id(right_label, right)).alias(f"{name}$_b"), F.lit(left_label).alias(f"{name}$_al"), F.lit(right_label).alias(f"{name}$_bl"),
                 F.col(EID).cast("string").alias(f"{name}${EID}"), F.lit(t.name).alias(f"{name}${LABEL}"),
                 global_id(t.source, src).alias(f"{name}${SRC}"), global_id(t.target, dst).alias(f"{name}${DST}"),
                 *[(F.col(p).cast(kinds[p]) if p in t.properties else F.lit(None).cast(kinds[p])).alias(f"{name}${p}") for p in props],
@@ -438,8 +445,9 @@ class Lowering:
             out = one if out is None else out.union(one)
         return out, edge
 
-    def hop(self, df: DataFrame, scope: Scope, a: P.NodePattern, e: P.EdgePattern, b: P.NodePattern, labels: tuple) -> tuple[DataFrame, Edge]:
-        left = scope[a.variable]
+    def hop(self, df: DataFrame | None, scope: Scope, a: P.NodePattern, e: P.EdgePattern, b: P.NodePattern, own: tuple, labels: tuple) -> tuple[DataFrame, Edge]:
+        """df with an edge and the node it leads to; without a df the edges themselves begin the path."""
+        left = scope[a.variable] if df is not None else Node(a.variable, own, ())
         bound = scope.get(b.variable)
         right_labels = bound.labels if isinstance(bound, Node) else labels
         tables = self.tables(e, left.labels, right_labels)
@@ -451,6 +459,7 @@ class Lowering:
             # nothing leads there: no rows, with the columns that later clauses expect
             edge = Edge(name, (), (), ())
             nothing = F.lit(None).cast("string")
+            df = self.scan(df, scope, a, own) if df is None else df
             df = df.filter(F.lit(False)).withColumns({c: nothing for c in edge.columns})
             scope[name] = edge
             if bound is None:
@@ -466,11 +475,18 @@ class Lowering:
         scope[name] = edge
         frame = self.with_props(frame, scope, edge, e.props)
         on = left.col(ID) == F.col(f"`{name}$_a`")
-        if target is not None:
+        if df is None:
+            scope[a.variable] = left
+            frame = frame.withColumn(f"{a.variable}${ID}", F.col(f"`{name}$_a`")).withColumn(f"{a.variable}${LABEL}", F.col(f"`{name}$_al`"))
+            if b.variable == a.variable:
+                target = left
+        if target is not None and df is None:
+            df = frame.filter(target.col(ID) == F.col(f"`{name}$_b`"))
+        elif target is not None:
             df = df.join(frame, on & (target.col(ID) == F.col(f"`{name}$_b`")))
             df = self.given(df, scope, b)
         else:
-            df = df.join(frame, on)
+            df = frame if df is None else df.join(frame, on)
             nodes, node = self.node_frame(b.variable, reached)
             if node.props or any(t.dangling for t, _ in tables):
                 df = df.join(nodes, F.col(f"`{name}$_b`") == node.col(ID))
@@ -478,7 +494,7 @@ class Lowering:
                 df = df.withColumn(f"{b.variable}${ID}", F.col(f"`{name}$_b`")).withColumn(f"{b.variable}${LABEL}", F.col(f"`{name}$_bl`"))
             scope[b.variable] = node
             df = self.with_props(df, scope, node, b.props)
-        return df.drop(f"{name}$_a", f"{name}$_b", f"{name}$_bl"), edge
+        return df.drop(f"{name}$_a", f"{name}$_al", f"{name}$_b", f"{name}$_bl"), edge
 
     def walks(self, e: P.EdgePattern) -> DataFrame:
         """_a, _b, _bl, _e: steps of a pattern of any length, by ids across labels."""

@@ -142,3 +142,9 @@ def test_random_graphs_against_plain_evaluation(spark, seed):
     for v in range(n):
         go(v, frozenset(), v)
     assert rows(graph.cypher("MATCH (a:N)-[:E*1..3]->(b:N) RETURN a.id, b.id")) == sorted(trails, key=str)
+
+
+def test_loops(g):
+    assert rows(g.cypher("MATCH (a:Person)-[:KNOWS]->(a) RETURN a.name")) == [("Cid",)]
+    assert rows(g.cypher("MATCH (a:Person)-[:KNOWS]->(a) RETURN count(a) AS n")) == [(1,)]
+    assert rows(g.cypher("MATCH (a:Firm)-[:KNOWS]->(b) RETURN count(b) AS n")) == [(0,)]

@@ -165,6 +165,8 @@ class Lowering:
                 self.optional_match(c) if c.optional else self.match(c)
             elif isinstance(c, P.Unwind):
                 self.unwind(c)
+            elif isinstance(c, P.LoadCsv):
+                self.load_csv(c)
             elif isinstance(c, P.Project):
                 names = self.project(c)
             elif isinstance(c, P.Procedure):
@@ -586,6 +588,14 @@ class Lowering:
         self.df = self.df.withColumn(name, F.explode(source))
         self.scope = {**self.scope, c.alias: Value(F.col(f"`{name}`"), name)}
 
+    def load_csv(self, c: P.LoadCsv) -> None:
+        """One row for each of a file's: a struct by column name, or a list of texts without headers."""
+        rows = self.graph.spark.read.option("header", c.headers).csv(self.constant(c.path))
+        column = F.struct(*[F.col(f"`{x}`") for x in rows.columns]) if c.headers else F.array(*[F.col(f"`{x}`") for x in rows.columns])
+        rows = rows.select(column.alias(c.alias))
+        self.df = rows if self.df is None else self.df.crossJoin(rows)
+        self.scope = {**self.scope, c.alias: Value(F.col(f"`{c.alias}`"), c.alias)}
+
     def procedure(self, c: P.Procedure) -> None:
         args = [self.constant(a) for a in c.args]
         if c.name == "show_tables":

@@ -239,8 +239,12 @@ def test_tables_by_hand(spark, tmp_path):
     assert [tuple(r) for r in store.cypher("MATCH (x)-[r:ROAD]->(y) RETURN x.name, r.km, y.name").collect()] == [("Aa", 7, "New")]
     assert store.insert_relationship("ROAD", "City", "City", [("b", "a", 3), ("City", "a", "City", "a", "ROAD", {"km": 1})], ("km",)) == 2
     assert store.cypher("MATCH ()-[r:ROAD]->() RETURN sum(r.km) AS km").first()["km"] == 11
+    (tmp_path / "roads.csv").write_text("from,to,km\na,b,20\nb,b,5\nz,a,1\n")
+    q = "LOAD CSV WITH HEADERS FROM $f AS row MATCH (x:City), (y:City) WHERE x.id = row.from AND y.id = row.to CREATE (x)-[:ROAD {km: toInteger(row.km)}]->(y)"
+    store.cypher(q, {"f": f"file://{tmp_path}/roads.csv"}, read_only=False)
+    assert store.cypher("MATCH ()-[r:ROAD]->() RETURN sum(r.km) AS km, count(r) AS n").first().asDict() == {"km": 36, "n": 5}
     store.compact("ROAD")
-    assert store.counts().filter("name = 'ROAD'").first()["rows"] == 3
+    assert store.counts().filter("name = 'ROAD'").first()["rows"] == 5
     with pytest.raises(QueryError):
         store.cypher("CREATE (c:City {id: 'z'})")
     assert store.drop_table("City") and not store.drop_table("City") and store.info()["tables"] == 0

@@ -4,16 +4,15 @@ A language's profile is the order of its most frequent character n-grams; a docu
 out-of-place distance sums, over the document's n-grams, how far their ranks lie apart (n-grams that the language's
 profile lacks count as the profile's length); the nearest language is the answer.
 
-N-grams of one to three letters are counted within words, a word being a run of letters with a blank on either side. An
-n-gram is an integer, 21 bits a character, and its numeric order breaks ties of frequency. Texts are turned into counts
-of distinct words first, and the words' n-grams are kept from text to text.
+N-grams of one to three characters are counted within words, a word being a run of letters with a blank on either side.
+An n-gram is an integer, 21 bits a character, and its numeric order breaks ties of frequency; a text's n-grams are
+counted by sorting them.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,78 +22,79 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+BLANK = 32
+PART = 1 << 20
 Profiles = dict[str, np.ndarray]
 
 
-def letter_words(text: str | None) -> Counter[str]:
-    return Counter(LETTERS.findall(text.lower())) if text else Counter()
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-class Grams:
-    """The n-grams of words, with a bounded store of those already met."""
+def letter_codes(text: str) -> np.ndarray:
+    """Code points of a text in lower case, whatever is no letter a blank, with a blank at either end."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(letters()[codes], codes, BLANK).astype(np.int64)
 
-    def __init__(self, longest: int = 3, capacity: int = 100_000):
-        self.longest, self.capacity, self.known = longest, capacity, {}
 
-    def of(self, word: str) -> np.ndarray:
-        if (found := self.known.get(word)) is None:
-            codes = np.fromiter(map(ord, f" {word} "), dtype=np.int64, count=len(word) + 2)
-            found, keys = [codes[1:-1]], codes
-            for n in range(2, self.longest + 1):
-                keys = (keys[:-1] << 21) | codes[n - 1 :]
-                found.append(keys)
-            found = np.concatenate(found)
-            if len(self.known) >= self.capacity:
-                self.known.clear()
-            self.known[word] = found
-        return found
-
-    def counts(self, words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams, ascending, and their counts."""
-        parts = list(map(self.of, words))
-        keys = np.concatenate(parts)
-        times = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
+def count_keys(keys: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs, or the sum of its times."""
+    if times is None:
+        keys = np.sort(keys)
+    else:
         order = np.argsort(keys)
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(times[order], first)
+        keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.diff(np.concatenate([first, [len(keys)]])) if times is None else np.add.reduceat(times, first) if len(first) else times
+
+
+def gram_counts(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams around every letter and their counts: itself, with either neighbour, with both."""
+    found = []
+    for a in range(0, len(codes), PART):
+        part = codes[a : a + PART + 2]  # two more, so that every triple lies in one part
+        letter = part != BLANK
+        last = a + PART + 2 >= len(codes)
+        n = len(part) if last else PART
+        pairs = (part[:-1] << 21) | part[1:]
+        found.append(count_keys(np.concatenate([part[:n][letter[:n]], pairs[:n][(letter[:-1] | letter[1:])[:n]], ((pairs[:-1] << 21) | part[2:])[:n][letter[1:-1][:n]]])))
+        if last:
+            break
+    return found[0] if len(found) == 1 else count_keys(*(np.concatenate(x) for x in zip(*found)))
 
-    def ranked(self, words: Counter[str], length: int) -> np.ndarray:
-        """The most frequent n-grams, first the most frequent, of equals the smaller."""
-        keys, n = self.counts(words)
-        return keys[np.argsort(-n, kind="stable")[:length]]
 
+def ranked(codes: np.ndarray, length: int) -> np.ndarray:
+    """The most frequent n-grams, first the most frequent, of equals the smaller."""
+    keys, n = gram_counts(codes)
+    return keys[np.argsort(-n, kind="stable")[:length]]
 
-def train(docs: DataFrame, held: Column, length: int = 400, longest: int = 3) -> Profiles:
+
+def train(docs: DataFrame, held: Column, length: int = 400) -> Profiles:
     """Each language's profile over all rows with text and lang of which held is false. The driver gets ``length``
     n-grams a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(longest)
-        words: dict[str, Counter[str]] = {}
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, some in words.items():
-                total: Counter[int] = Counter()
-                listed = list(some.items())
-                for a in range(0, len(listed), 20_000):
-                    keys, n = grams.counts(dict(listed[a : a + 20_000]))
-                    for k, m in zip(keys.tolist(), n.tolist()):
-                        total[k] += m
-                if total:
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(total)), "gram": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
-            words.clear()
-
+        totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            texts, langs = batch.column("text"), batch.column("lang").to_pylist()
-            for a, b in slices(texts.to_pylist()):
-                for lang, text in zip(langs[a:b], texts[a:b].to_pylist()):
-                    words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-                if sum(map(len, words.values())) > 300_000:
-                    yield from out()
-        yield from out()
+            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
+            for a, b in slices(texts):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(langs[a:b], texts[a:b]):
+                    by.setdefault(lang, []).append(text)
+                for lang, some in by.items():
+                    parts = [gram_counts(letter_codes(" ".join(some)))] + ([totals[lang]] if lang in totals else [])
+                    totals[lang] = count_keys(*(np.concatenate(x) for x in zip(*parts)))
+                if sum(len(k) for k, _ in totals.values()) > 2_000_000:
+                    yield from out(totals)
+                    totals.clear()
+        yield from out(totals)
+
+    def out(totals: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, (keys, n) in totals.items():
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(keys), pa.string()), "gram": pa.array(keys), "n": pa.array(n.astype(np.int64))})
 
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held).select("text", "lang")
     totals = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -109,8 +109,8 @@ def train(docs: DataFrame, held: Column, length: int = 400, longest: int = 3) ->
 class Judge:
     """Tells a text's language and how clearly: the share of the largest possible distance by which it stays below it."""
 
-    def __init__(self, profiles: Profiles, length: int, longest: int = 3):
-        self.langs, self.length, self.grams = list(profiles), length, Grams(longest)
+    def __init__(self, profiles: Profiles, length: int):
+        self.langs, self.length = list(profiles), length
         self.keys, self.ranks = [], []
         for p in profiles.values():
             order = np.argsort(p)
@@ -118,10 +118,10 @@ class Judge:
             self.ranks.append(order)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = letter_words(text)
-        if not words or not self.langs:
+        codes = letter_codes(text) if text else np.zeros(0, dtype=np.int64)
+        if not self.langs or not (codes != BLANK).any():
             return UNKNOWN, 0.0
-        own = self.grams.ranked(words, self.length)
+        own = ranked(codes, self.length)
         place = np.arange(len(own))
         best, least = UNKNOWN, None
         for lang, keys, ranks in zip(self.langs, self.keys, self.ranks):
@@ -133,16 +133,16 @@ class Judge:
         return best, 1 - least / (self.length * len(own))
 
 
-def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400, longest: int = 3) -> DataFrame:
+def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400) -> DataFrame:
     """docs, all rows and columns, with lang_pred and score behind them."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded: length n-grams a language
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(shared.value, length, longest)
+        judge = Judge(shared.value, length)
         for batch in batches:
             texts = batch.column(place)
-            found = [judge(t) for a, b in slices(texts.to_pylist()) for t in texts[a:b].to_pylist()]
+            found = [judge(t) for t in texts.to_pylist()]
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
@@ -155,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, length: int = 400, longest: int = 3) -> DataFrame:
+def identify_languages(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Learns from text and lang of the rows that are not held out; predicts from
     text alone.
 
@@ -163,13 +163,13 @@ def identify_languages(docs: DataFrame, length: int = 400, longest: int = 3) ->
     score 0, as is any if there is nothing to learn from; of languages equally near the first by name is taken; every
     row gives a row; an empty table gives none."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    profiles = train(rows, held_out(F.col("doc_id")), length, longest)
-    return judge_rows(rows.select("doc_id", "text"), profiles, length, longest).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    profiles = train(rows, held_out(F.col("doc_id")), length)
+    return judge_rows(rows.select("doc_id", "text"), profiles, length).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.05, length: int = 400, longest: int = 3) -> DataFrame:
+def keep_identified(docs: DataFrame, least_score: float = 0.05, length: int = 400) -> DataFrame:
     """docs, all columns, without the rows that are ``und`` or as far from every language as texts in none are."""
-    profiles = train(docs, held_out(F.col("doc_id")), length, longest)
-    judged = judge_rows(docs, profiles, length, longest)
+    profiles = train(docs, held_out(F.col("doc_id")), length)
+    judged = judge_rows(docs, profiles, length)
     kept = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
     return kept.select(*docs.columns)

@@ -2,8 +2,7 @@
 n-grams, trained on labelled rows, calibrated to probabilities and scored in Arrow batches against a fixed threshold.
 
 Features are words, pairs of neighbouring words and the character n-grams of words (each with a blank on either side),
-hashed into a fixed number of buckets; a text's value of a bucket is its share of the text's features of that kind. As
-the model is linear, a word's part of the score (itself and its character n-grams) is worked out once and kept.
+hashed into a fixed number of buckets; a text's value of a bucket is its share of the text's features of that kind.
 """
 
 from __future__ import annotations
@@ -17,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-
 SYMBOLS = b"#*$%&|<>"  # fixed values: the characters that count as symbols
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-BUCKETS = 1 << 18
+BITS = 18
+BUCKETS = 1 << BITS
 SCALE = 20.0
 
 
@@ -35,19 +33,22 @@ class Model:
     b: float
 
 
-def bucket(data: bytes, kind: bytes) -> int:
-    return zlib.crc32(data, zlib.crc32(kind)) % BUCKETS
-
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Buckets of 64-bit keys: the leading bits of a product."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
-def char_buckets(word: bytes, sizes: tuple[int, ...] = (3, 4)) -> list[int]:
-    padded = b" " + word + b" "
-    return [bucket(padded[i : i + n], b"c") for n in sizes for i in range(len(padded) - n + 1)] or [bucket(padded, b"c")]
 
-
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words from their 32-bit hashes."""
-    mixed = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((mixed >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
+def feature_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of words, of pairs of neighbouring words, and of character n-grams of three and four bytes; an n-gram
+    lies within a word and the blanks beside it."""
+    h = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
+    s = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
+    inner = s != 32
+    three = s[:-2] | (s[1:-1] << np.uint64(8)) | (s[2:] << np.uint64(16))
+    four = three[:-1] | (s[3:] << np.uint64(24))
+    chars = np.concatenate([three[inner[1:-1]] | np.uint64(3 << 40), four[inner[1:-2] & inner[2:-1]] | np.uint64(4 << 40)])
+    pairs = (h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ h[1:]
+    return mixed(h | np.uint64(1 << 40)), mixed(pairs), mixed(chars)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -55,17 +56,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").encode().split()
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    chars = [char_buckets(w) for w in words]
-    parts = [
-        (np.array([bucket(w, b"w") for w in words]), SCALE / len(words)),
-        (pair_buckets(np.array([zlib.crc32(w) for w in words], dtype=np.uint64)), SCALE / max(1, len(words) - 1)),
-        # a word's character n-grams share the word's part
-        (np.concatenate([np.array(c) for c in chars]), np.concatenate([np.full(len(c), SCALE / len(c) / len(words)) for c in chars])),
-    ]
-    keys = np.concatenate([k for k, _ in parts])
-    values = np.concatenate([np.broadcast_to(v, k.shape) for k, v in parts])
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights=values)
+    parts = [p for p in feature_buckets(words) if len(p)]
+    found, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate([np.full(len(p), SCALE / len(p)) for p in parts]))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], good: int, bad: int, epochs: int = 12, rate: float = 0.3, decay: float = 1e-5, every: int = 5) -> Model:
@@ -138,37 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
 
 class Scorer:
-    """Probabilities of texts under a model, and their plain statistics, with a bounded store of words met."""
-
-    def __init__(self, model: Model, capacity: int = 200_000):
-        self.model, self.capacity = model, capacity
-        self.numbers: dict[bytes, int] = {}
-        self.hashes, self.parts = np.zeros(capacity + 1, dtype=np.uint64), np.zeros(capacity + 1)
-
-    def _learn(self, word: bytes) -> int:
-        n = self.numbers[word] = len(self.numbers)
-        if n >= len(self.parts):
-            self.hashes, self.parts = np.concatenate([self.hashes, np.zeros_like(self.hashes)]), np.concatenate([self.parts, np.zeros_like(self.parts)])
-        w = self.model.weights
-        self.hashes[n] = zlib.crc32(word)
-        self.parts[n] = w[bucket(word, b"w")] + w[char_buckets(word)].mean()
-        return n
+    """Probabilities of texts under a model, and their plain statistics."""
+
+    def __init__(self, model: Model):
+        self.model = model
 
     def __call__(self, text: str | None) -> tuple[int, int, int, int, int, float]:
         """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the probability that the text is good."""
         data = (text or "").encode()
         words = data.split()
+        n_symbols = len(data) - len(data.translate(None, SYMBOLS))
         if not words:
-            return 0, 0, len(data) - len(data.translate(None, SYMBOLS)), 0, 0, self._probability(0.0)
-        if len(self.numbers) > self.capacity:
-            self.numbers.clear()
-        known = self.numbers
-        ids = np.fromiter((known[w] if w in known else self._learn(w) for w in words), dtype=np.int64, count=len(words))
-        z = SCALE * self.parts[ids].mean()
-        if len(words) > 1:
-            z += SCALE * self.model.weights[pair_buckets(self.hashes[ids])].mean()
+            return 0, 0, n_symbols, 0, 0, self._probability(0.0)
+        numbers: dict[bytes, int] = {}
+        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+        z = SCALE * sum(float(self.model.weights[p].mean()) for p in feature_buckets(words) if len(p))
         n_chars = len(text) - (len(data) - len(data.translate(None, BLANKS)))
-        return len(words), n_chars, len(data) - len(data.translate(None, SYMBOLS)), duplicate_lines(data), repeated_words(ids), self._probability(z)
+        return len(words), n_chars, n_symbols, duplicate_lines(data), repeated_words(ids), self._probability(z)
 
     def _probability(self, z: float) -> float:
         m = self.model
@@ -189,13 +168,11 @@ def repeated_words(ids: np.ndarray) -> int:
     n = len(ids) - 2
     if n < 2:
         return 0
-    # ids within the text, so that three of them fit into one integer
-    own = np.unique(ids, return_inverse=True)[1].astype(np.int64) if ids.max() >= 1 << 21 else ids
-    if own.max() >= 1 << 21:  # over two million distinct words: name the pairs first
-        pairs = np.unique(own[:-1] * (own.max() + 1) + own[1:], return_inverse=True)[1]
-        keys = pairs[:-1] * (own.max() + 1) + own[2:]
+    if ids.max() >= 1 << 21:  # over two million distinct words: name the pairs first
+        pairs = np.unique(ids[:-1] * (ids.max() + 1) + ids[1:], return_inverse=True)[1]
+        keys = pairs[:-1] * (ids.max() + 1) + ids[2:]
     else:
-        keys = (own[:-2] << 42) | (own[1:-1] << 21) | own[2:]
+        keys = (ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:]
     order = np.argsort(keys, kind="stable")
     same = keys[order][1:] == keys[order][:-1]
     if not same.any():
@@ -223,7 +200,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, le
         score = Scorer(shared.value)
         for batch in batches:
             texts = batch.column("text")
-            rows = [score(t) for a, b in slices(texts.to_pylist()) for t in texts[a:b].to_pylist()]
+            rows = [score(t) for t in texts.to_pylist()]
             n_words, chars, symbols, lines, repeated, p = (np.array(x) for x in zip(*rows)) if rows else [np.zeros(0, dtype=np.int64)] * 5 + [np.zeros(0)]
             failed = (n_words < least_words) | (100 * repeated > most_repeated * n_words)
             yield pa.RecordBatch.from_pydict({

@@ -6,33 +6,17 @@ import functools
 import os
 import re
 import sys
-import tempfile
 import uuid
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import make_importable
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local session gets
-    a temporary folder; a cluster session is refused, since its machines would not see one another's files."""
-    global _own_dir
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-    return _own_dir
-
+from ..session import make_importable, shared_dir
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
@@ -56,6 +40,27 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of columns has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: list[T.StructField] = []) -> DataFrame:  # noqa: B006
+    """docs, all columns in their places, mapped batch by batch, with more columns behind. Within run columns go by place."""
+    plain = [f"c{i}" for i in range(len(docs.columns) + len(more))]
+    fields = [*docs.schema.fields, *more]
+    out = docs.toDF(*plain[: len(docs.columns)]).mapInArrow(run, T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, fields)]))
+    return out.toDF(*[f.name for f in fields])
+
+
 def spread(*cols: Column | str, n: int) -> Column:
     """A bucket from 0 to n - 1 by hash; null hashes like a value."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
@@ -78,34 +83,43 @@ def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, leading_space: bool) -> WordCachedEncoder:
-    """This process's encoder; a reused Python worker keeps its words from task to task."""
+def encoder(path: str, leading_space: bool) -> CachedEncoder:
+    """This process's encoder; a reused Python worker keeps its pieces from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordCachedEncoder(path, leading_space)
+    return CachedEncoder(path, leading_space)
 
 
-class WordCachedEncoder:
-    """Encodes whole texts by the tokenizers library, each distinct word once.
+class CachedEncoder:
+    """Encodes whole texts by the tokenizers library, each distinct piece of text once.
 
-    A text is cut only where the tokenizer always has a token boundary and where what stands on either side does not
-    change the other's tokens; the pieces' ids, cached as bytes, are joined. With ``leading_space`` (byte-level
-    vocabularies, where a single space or line feed opens the next token) that is before a single space, and around a
-    single line feed, between two characters that are not white space. Otherwise (white space is dropped by the
-    tokenizer) it is at any space or line feed. The result equals ``encode(text, add_special_tokens=False)``.
+    The tokenizer's own first step cuts a text into pieces by a pattern and encodes each for itself. For texts of
+    Latin-1 letters, where the pattern's classes leave no doubt, that cut is made here, and the ids of the pieces, kept
+    as bytes, are joined; other texts go to the library as they are. Either way the ids are those of
+    ``encode(text, add_special_tokens=False)``. With ``leading_space`` (byte-level vocabularies) a piece takes a space
+    before it along; otherwise white space is dropped and letters are folded to lower case.
     """
 
-    _BOUNDARY = re.compile(r"(?<=\S)(?=[ \n]\S)")
-    _EDGE = re.compile(r"^\s|\s$")
+    #: The two tokenizers' patterns, with the letters and numbers of Latin-1.
+    _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    _SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+    _DROPPED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
+
+    _MARK = "\u25a0"  # no Latin-1 character
 
-    def __init__(self, path: str, leading_space: bool, capacity: int = 300_000):
+    def __init__(self, path: str, leading_space: bool, capacity: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.leading_space, self.capacity = leading_space, capacity
-        self.plain: dict[str, bytes] = {}  # piece: its ids
-        self.spaced: dict[str, bytes] = {}  # word: ids of a space and the word
-        self.older: dict[str, dict[str, bytes]] = {"": {}, " ": {}}  # by prefix, what was kept before the last trim
+        self.cut = (self._SPACED if leading_space else self._DROPPED).findall
+        # tokens that begin a piece with a space before it, or end a piece: new pieces are encoded many in one text
+        marks = [i for k, i in self.tokenizer.get_vocab().items() if (k.startswith("\u0120") if leading_space else k.endswith("</w>"))]
+        self.marks = np.zeros(self.vocabulary, dtype=bool)
+        self.marks[marks] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before the last trim
 
     def _ids(self, pieces: list[str]) -> Iterator[bytes]:
         for at in range(0, len(pieces), 20_000):
@@ -115,58 +129,62 @@ class WordCachedEncoder:
                     ids.byteswap()
                 yield ids.tobytes()
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], prefix: str = "") -> None:
-        older = self.older[prefix]
-        new = []
-        for p in pieces - cache.keys():
-            if p in older:
-                cache[p] = older[p]
-            else:
-                new.append(p)
-        cache.update(zip(new, self._ids([prefix + p for p in new])))
-
-    def _trim(self) -> None:
-        """A full cache becomes the older one, from which words still in use come back."""
-        if len(self.plain) > self.capacity:
-            self.plain, self.older[""] = {}, self.plain
-        if len(self.spaced) > self.capacity:
-            self.spaced, self.older[" "] = {}, self.spaced
+    def _learn(self, pieces: list[str]) -> None:
+        together = [p for p in pieces if p[0] == " " and not p[1:2].isspace() and len(p) > 1] if self.leading_space else pieces
+        for at in range(0, len(together), 2000):
+            part = together[at : at + 2000]
+            encoded = self.tokenizer.encode_batch_fast([("" if self.leading_space else " ").join(part)], add_special_tokens=False)[0].ids
+            ids = np.array(encoded, dtype="<u4")
+            found, data = np.flatnonzero(self.marks[ids]), ids.tobytes()
+            edges = [*(4 * found).tolist(), len(data)] if self.leading_space else [0, *(4 * found + 4).tolist()]
+            if len(found) == len(part) and edges[0] == 0 and edges[-1] == len(data):
+                self.known.update(zip(part, (data[a:b] for a, b in zip(edges, edges[1:]))))
+        rest = [p for p in pieces if p not in self.known]
+        self.known.update(zip(rest, self._ids(rest)))
+
+    def _plain(self, text: str) -> bool:
+        """Whether the pattern's classes are certain: Latin-1, printable but for line feeds, no special token's text."""
+        if any(t in text for t in self.special) or not text.replace("\n", " ").isprintable():
+            return False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return True
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is taken as empty."""
         for a, b in slices(texts):
-            self._trim()
+            if len(self.known) > self.capacity:  # pieces still in use come back from the older ones
+                self.known, self.older = {}, self.known
             part = [t or "" for t in texts[a:b]]
-            yield from self._spaced(part) if self.leading_space else self._dropped(part)
-
-    def _dropped(self, texts: list[str]) -> Iterator[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self._learn(self.plain, set().union(*words))
-        for w in words:
-            yield b"".join(map(self.plain.__getitem__, w))
-
-    def _spaced(self, texts: list[str]) -> Iterator[bytes]:
-        cut: list[tuple[bool, list]] = []
-        firsts, rests = {"\n"}, set()
-        for t in texts:
-            # runs of white space are kept inside pieces
-            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1] in " \n" or t[-1:] in " \n":
-                cut.append((False, self._BOUNDARY.split(t)))
-                firsts.update(cut[-1][1])
-            else:
-                lines = [line.split(" ") for line in t.split("\n")]
-                for line in lines:
-                    firsts.add(line[0])
-                    rests.update(line[1:])
-                cut.append((True, lines))
-        odd = {w for s, cache in ((firsts, self.plain), (rests, self.spaced)) for w in s if w not in cache and w != "\n" and self._EDGE.search(w)}
-        self._learn(self.plain, firsts)
-        self._learn(self.spaced, rests - odd, " ")
-        feed = self.plain["\n"]
-        for t, (regular, pieces) in zip(texts, cut):
-            if not regular:
-                yield b"".join(map(self.plain.__getitem__, pieces))
-            elif odd and any(w in odd for line in pieces for w in line):  # other white space at a word's edge
-                yield b"".join(self._ids([t]))
-            else:
-                yield feed.join(self.plain[line[0]] + b"".join(map(self.spaced.__getitem__, line[1:])) for line in pieces)
+            if not self.leading_space and self._plain("\n".join(part)):
+                yield from self._together(part)
+                continue
+            cut = [(True, self.cut(t if self.leading_space else t.lower())) if self._plain(t) else (False, [t]) for t in part]
+            self._meet(set().union(*(pieces for plain, pieces in cut if plain)))
+            known = self.known
+            for plain, pieces in cut:
+                yield b"".join(map(known.__getitem__, pieces)) if plain else next(self._ids(pieces))
+
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        """Plain texts in one go, with a mark between them that none of them holds."""
+        pieces = self.cut(f" {self._MARK} ".join(texts).lower())
+        self.known[self._MARK] = b"\xff\xff\xff\xff"
+        self._meet(set(pieces))
+        data = b"".join(map(self.known.__getitem__, pieces))
+        at = 0
+        for end in (4 * np.flatnonzero(np.frombuffer(data, dtype="<u4") == 0xFFFFFFFF)).tolist():
+            yield data[at:end]
+            at = end + 4
+        yield data[at:]
+
+    def _meet(self, pieces: set[str]) -> None:
+        """Makes pieces known."""
+        new = pieces - self.known.keys()
+        if self.older:
+            back = new & self.older.keys()
+            self.known.update((p, self.older[p]) for p in back)
+            new -= back
+        self._learn(list(new))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import encoder, n_partitions, shared_path
+from .common import encoder, n_partitions, shared_path, written
 
 TAIL = "ZTOK"
 SKIPPABLE = 0x184D2A5E
@@ -38,7 +38,7 @@ FOOTER = struct.Struct("<IIIB4s")
 class ShardBuilder:
     """Collects documents and yields the bytes of a shard without its closing tail, which the writer adds."""
 
-    def __init__(self, width: int, level: int = 3):
+    def __init__(self, width: int, level: int = 1):
         import zstandard
 
         self.width, self.packer = width, zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
@@ -100,9 +100,9 @@ class Shard:
 
     def ids(self, i: int) -> np.ndarray:
         """The token ids of the shard's i-th document, checked against its checksum."""
-        e = self.entries[i]
-        raw = self.unpack.decompress(self.read(int(self.starts[i]), int(e["packed"])), max_output_size=max(1, int(e["size"])))
-        if len(raw) != e["size"] or zlib.crc32(raw) != e["crc"]:
+        _, _, packed, size, _, crc = self.entries[i].item()
+        raw = self.unpack.decompress(self.read(int(self.starts[i]), packed), max_output_size=max(1, size))
+        if len(raw) != size or zlib.crc32(raw) != crc:
             raise ValueError(f"frame {i} of shard {self.partition}.{self.sequence} is damaged")
         return np.frombuffer(raw, dtype=f"<u{self.width}").astype("<u4")
 
@@ -133,11 +133,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, leading_s
         encode = encoder(tokenizer_path, leading_space)
         builder = ShardBuilder(2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4)
         partition, sequence = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4")
+        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids = encode.encode(batch.column("text").to_pylist())
             for doc_id, one in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                builder.add(doc_id, np.concatenate([np.frombuffer(one, dtype="<u4"), end]))
+                builder.add(doc_id, np.frombuffer(one + end, dtype="<u4"))
                 if builder.size >= shard_bytes:
                     yield pa.RecordBatch.from_pydict({"content": pa.array([builder.build(partition, sequence)], pa.binary())})
                     sequence += 1
@@ -183,10 +183,15 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                         columns["ids"] = pc.cast(pa.array([x.astype("int64") for x in ids], pa.list_(pa.int64())), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_pydict(columns)
 
+    found = files.mapInArrow(rows, "p long, q long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    if wanted is None and not with_ids:
+        found = written(found, "found")  # small, and its sums are the shards' totals: the files are read once
+        sums = found.groupBy("p", "q").agg(F.sum("n_tokens").alias("tokens"))
+    else:
+        sums = files.mapInArrow(totals, "p long, q long, tokens long")
     # one row per shard meets in one task here: a shard holds thousands of documents
     base = F.coalesce(F.sum("tokens").over(Window.orderBy("p", "q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = files.mapInArrow(totals, "p long, q long, tokens long").select("p", "q", base.alias("base"))
-    found = files.mapInArrow(rows, "p long, q long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    bases = sums.select("p", "q", base.alias("base"))
     return found.join(bases, ["p", "q"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_rows, quoted, slices, unused
 
 UNKNOWN = "und"
 BLANK = 32
@@ -133,8 +133,8 @@ class Judge:
         return best, 1 - least / (self.length * len(own))
 
 
-def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400) -> DataFrame:
-    """docs, all rows and columns, with lang_pred and score behind them."""
+def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs, all rows and columns, with the language and its score behind them."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # bounded: length n-grams a language
     place = docs.columns.index("text")
 
@@ -144,10 +144,9 @@ def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400) -> DataFr
             texts = batch.column(place)
             found = [judge(t) for t in texts.to_pylist()]
             langs, scores = zip(*found) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f"c{i}" for i in range(batch.num_columns + 2)])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run, [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -170,6 +169,6 @@ def identify_languages(docs: DataFrame, length: int = 400) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.05, length: int = 400) -> DataFrame:
     """docs, all columns, without the rows that are ``und`` or as far from every language as texts in none are."""
     profiles = train(docs, held_out(F.col("doc_id")), length)
-    judged = judge_rows(docs, profiles, length)
-    kept = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return kept.select(*docs.columns)
+    lang, score = unused(docs.columns, "_lang"), unused(docs.columns, "_score")
+    judged = judge_rows(docs, profiles, length, (lang, score))
+    return judged.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*quoted(docs.columns))

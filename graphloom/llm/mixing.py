@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, unused, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -127,7 +127,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     repeats (0 to most_repeats)."""
     share = mix_documents(docs, weights, most_repeats, seed).filter("taken > 0")
     share = share.groupBy("doc_id", "source", "row_hash").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
-    share = share.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("row_hash").alias("_h"), "_times")
-    rows = docs.withColumn("_row", F.xxhash64(F.col("text").cast("string")))
-    same = (rows["_row"] == share["_h"]) & rows["doc_id"].cast("long").eqNullSafe(share["_d"]) & rows["source"].cast("string").eqNullSafe(share["_s"])
-    return rows.join(share, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    d, src, h, times, row, k = (unused(docs.columns, c) for c in ("_d", "_s", "_h", "_times", "_row", "_k"))
+    share = share.select(F.col("doc_id").alias(d), F.col("source").alias(src), F.col("row_hash").alias(h), F.col("_times").alias(times))
+    rows = docs.withColumn(row, F.xxhash64(F.col("text").cast("string")))
+    same = (rows[row] == share[h]) & rows["doc_id"].cast("long").eqNullSafe(share[d]) & rows["source"].cast("string").eqNullSafe(share[src])
+    return rows.join(share, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*quoted(docs.columns))

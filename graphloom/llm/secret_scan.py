@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_rows, slices
 
 #: Patterns of each kind, and the least length of group 2, of the match or of the run.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -127,8 +127,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """docs, all rows and columns, with secrets in text replaced; n_chars, if there and not null, follows the text."""
-    schema = docs.schema
-    place = schema.names.index("text")
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,5 +135,5 @@ def redact_documents(docs: DataFrame) -> DataFrame:
             clean = [t if t is None or not (s := find_secrets(t)) else redact(t, s) for t in texts]
             yield batch.set_column(place, batch.schema.field(place), pa.array(clean, batch.schema.field(place).type))
 
-    out = docs.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(schema["n_chars"].dataType))) if "n_chars" in schema.names else out
+    out = map_rows(docs, run)
+    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

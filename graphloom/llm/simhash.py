@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import quoted, slices, unused, written
 
 BITS = 64
 #: The positions of the Hamming (7, 4) code's checks; a word belongs to the code if each has even parity.
@@ -258,7 +258,8 @@ def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, s
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     per_fp = prints.groupBy("fp").agg(F.min(rank).alias("first"))
     keep = comps.join(per_fp, "fp").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.h").alias("_h")).distinct()
-    rows = docs.withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    met = rows.join(keep, rows["_th"].eqNullSafe(keep["_h"]) & rows["doc_id"].cast("long").eqNullSafe(keep["_d"]), "left_semi")
-    one = Window.partitionBy("_th", "doc_id").orderBy(F.lit(0))
-    return met.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n", "_th")
+    th, n = unused(docs.columns, "_th"), unused(docs.columns, "_n")
+    rows = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    met = rows.join(keep, rows[th].eqNullSafe(keep["_h"]) & rows["doc_id"].cast("long").eqNullSafe(keep["_d"]), "left_semi")
+    one = Window.partitionBy(th, "doc_id").orderBy(F.lit(0))
+    return met.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1).select(*quoted(docs.columns))

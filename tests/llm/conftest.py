@@ -1,7 +1,7 @@
 import pytest
 
 SMALL = "/root/testdata/sf0.001"
-SCHEMA = "extra string, doc_id long, text string, lang string, source string, n_chars long, h long, key string"
+SCHEMA = "extra string, doc_id long, text string, lang string, source string, n_chars long, h long, key string, lang_pred string, score double, _th long, _times int, `a.b` string, size long"
 
 
 @pytest.fixture(scope="session")
@@ -18,7 +18,7 @@ def odd_rows():
         ("x", 5, "The house of the lord is here", "en", "b", 29), ("x", 5, "The house of the lord is here", "en", "b", 29), (None, None, "The house of the lord is here", "en", "b", 29),
         ("x", None, None, None, None, None), ("x", -7, "123 456 !!", "fr", "é", 10), ("x", 8, long[: len(long) // 2], "fr", "c", 5), ("x", 9, "la maison de la mer", "fr", "", 3),
     ]
-    return [(e, d, t, lang, s, n, 7, "clash") for e, d, t, lang, s, n in rows]
+    return [(e, d, t, lang, s, n, 7, "clash", "xx", 0.5, 3, 2, "dot", 1) for e, d, t, lang, s, n in rows]
 
 
 @pytest.fixture(scope="session")

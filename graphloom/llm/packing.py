@@ -202,7 +202,7 @@ def place(pieces: DataFrame, plan: Plan) -> DataFrame:
     (length, chunk) come from a window, and the chunks' first numbers from sums of their counts, so no length, however
     common, meets in one task."""
     spark = pieces.sparkSession
-    chunks = 8 * n_partitions(spark)
+    chunks = n_partitions(spark)
     slots: dict[int, list[tuple[int, int, int]]] = {}  # length: first number, first sequence, offset
     taken: Counter[int] = Counter()
     base = 0

@@ -216,7 +216,8 @@ class Lowering:
             negative, inner = not negative, inner.of
         if isinstance(inner, P.PatternTest):
             keys, frame, conditions = self.pattern_frame(scope, inner.path)
-            return df.join(frame, reduce(lambda a, b: a & b, conditions) if keys else F.lit(True), "left_anti" if negative else "left_semi")
+            # each key once: far fewer rows to shuffle than edges
+            return df.join(frame.distinct() if keys else frame, reduce(lambda a, b: a & b, conditions) if keys else F.lit(True), "left_anti" if negative else "left_semi")
         if any(isinstance(x, P.PatternTest) for x in P.walk(e)):
             df, e = self.flagged(df, scope, e)
         return df.filter(self.expression(e, scope))

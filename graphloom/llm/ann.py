@@ -4,8 +4,10 @@ The smallest Euclidean distance is the largest inner product of (query, 1) with
 part is kept exactly; the vector is quantised, two components to a subspace with sixteen centres each. Codes and
 centres minimise a loss that weighs the part of the residual parallel to the vector ``parallel`` times as much as the
 rest, since that part is what moves the largest inner products. Two codes share a byte; a query becomes one table of
-256 sums per byte, and a scan adds a table entry per byte of code. The best of each batch are ranked again by their
-exact distance in double precision.
+256 sums per byte, and a scan adds a table entry per byte of code. How far each vector lies from its code is kept too:
+by the triangle inequality a row's distance is at least its code's less that gap. The best codes of a batch are ranked
+by their exact distance in double precision, and so is every other row whose bound does not exceed the tenth distance
+known by then; no number limits how many these are, so dense groups, whose codes are nearly equal, lose nothing.
 
 Centres are fitted on a bounded sample; every vector is indexed. Queries are taken in blocks of bounded size, each
 sent to the tasks that scan the index.
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 CENTRES = 16
+BATCH = 10_000
 
 
 @dataclass
@@ -59,6 +62,10 @@ class Codebook:
                 whole = rest + along[:, k]
         return codes
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What codes stand for, rows x dim."""
+        return self.centres[np.arange(len(self.centres)), codes].reshape(len(codes), -1)[:, : self.dim].astype(np.float64)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x bytes x 256: what a byte of two codes adds to the inner product."""
         q = self.padded(queries)
@@ -138,8 +145,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 160
     vectors needs vec_id and embedding; other columns are ignored. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without vec_id or of a length other than the most frequent one. Rows of one
     vec_id are candidates each; as a query it counts once, with the smallest of its vectors, and none of its rows is its
-    candidate. An empty table gives no rows. rerank: how many of a batch are ranked exactly for each query. Centres are
-    fitted on ``sample`` vectors at most, those with the smallest hash; at most ``block`` queries are sent out at once."""
+    candidate. An empty table gives no rows. rerank: how many of a batch are ranked exactly for each query before bounds
+    tell which others are. Centres are fitted on ``sample`` vectors at most, those with the smallest hash; at most ``block`` queries are sent out at once."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -154,10 +161,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 160
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = pack(book.encode(matrix(batch.column("v"), dim).astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=[*batch.schema.names, "code"])
+            x = matrix(batch.column("v"), dim)
+            codes = book.encode(x.astype(np.float32))
+            stand = book.decode(codes)
+            more = [pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array((stand**2).sum(1)), pa.array(np.sqrt(((x - stand) ** 2).sum(1)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "code", "code_norm", "gap"])
 
-    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, q boolean, code binary"), "index")
+    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, q boolean, code binary, code_norm double, gap double"), "index")
     queries = indexed.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // block))
     found = None
@@ -185,26 +195,43 @@ def scan(indexed: DataFrame, book: Codebook, dim: int, queries: list, k: int, re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value
         kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        single, double = ((dim + 16) * np.finfo(t).eps for t in (np.float32, np.float64))
+
+        def keep(i: int, x: np.ndarray, vec_id: np.ndarray, at: np.ndarray) -> None:
+            if len(at):
+                exact = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
+                near, score = np.concatenate([kept[i][0], vec_id[at]]), np.concatenate([kept[i][1], exact])
+                best = best_of(near, score, k)
+                kept[i] = near[best], score[best]
+
+        for batch in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
             vec_id, x = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)
             codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(vec_id), -1).T.copy()
-            half = (0.5 * (x**2).sum(1)).astype(np.float32)
+            half, gap = 0.5 * batch.column("code_norm").to_numpy(), batch.column("gap").to_numpy() * (1 + 1e-9)
+            norm, size = (x**2).sum(1), np.sqrt(2 * half)
             for a in range(0, len(ids), 256):
                 for i, table in enumerate(book.tables(q[a : a + 256].astype(np.float32)), a):
-                    far = half.copy()
+                    inner = np.zeros(len(vec_id), dtype=np.float32)
                     for sums, code in zip(table, codes):
-                        far -= sums[code]
-                    at = best_of(vec_id, far, min(rerank, len(far)))
-                    at = at[vec_id[at] != ids[i]]
-                    exact = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                    near, score = np.concatenate([kept[i][0], vec_id[at]]), np.concatenate([kept[i][1], exact])
-                    best = best_of(near, score, k)
-                    kept[i] = near[best], score[best]
+                        inner += sums[code]
+                    far = half - inner
+                    others = vec_id != ids[i]
+                    first = np.argpartition(np.where(others, far, np.inf), rerank)[:rerank] if len(far) > rerank else np.arange(len(far))
+                    keep(i, x, vec_id, first[others[first]])
+                    # half the square that a row's code may lie away from the query, and what single precision may add
+                    square = q[i] @ q[i]
+                    edge = kept[i][1][-1] if len(kept[i][1]) == k else np.inf
+                    bound = 0.5 * (edge + gap) ** 2 - 0.5 * square + single * (np.sqrt(square) + size) ** 2
+                    others[first] = False
+                    at = np.flatnonzero(others & ~((far > bound) & np.isfinite(far)))
+                    if len(at) > 4 * rerank:  # so many that one product sorts most out
+                        slack = double * (np.sqrt(square) + np.sqrt(norm)) ** 2
+                        others[at] = ~((0.5 * norm - x @ q[i])[at] > (0.5 * edge**2 - 0.5 * square + slack)[at])
+                        at = at[others[at]]
+                    keep(i, x, vec_id, at)
         sizes = [len(n) for n, _ in kept]
         if sum(sizes):
             near, score = (np.concatenate(x) for x in zip(*kept))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    return indexed.select("vec_id", "v", "code").mapInArrow(run, "query_id long, vec_id long, score double")
+    return indexed.select("vec_id", "v", "code", "code_norm", "gap").mapInArrow(run, "query_id long, vec_id long, score double")

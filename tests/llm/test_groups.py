@@ -322,6 +322,26 @@ def test_nearest(spark, sf, least):
     assert found >= least, found
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.1, 0.03])
+def test_nearest_in_dense_groups(spark, noise):
+    """Thousands of near copies, whose codes hardly differ: the ten nearest are exact, whatever the batch size."""
+    rng = np.random.default_rng(7)
+    middles = rng.normal(size=(3, 64))
+    x = np.concatenate([m + noise * rng.normal(size=(3000, 64)) for m in middles] + [rng.normal(size=(1000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    want = {q: [i for i, _ in w] for q, w in brute_nearest(rows).items()}
+    for size in (10_000, 700):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {}
+        for r in ann.nearest(frame, frame.vec_id % 100 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found = sum(len(set(got[q]) & set(w)) for q, w in want.items()) / (10 * len(want))
+        assert got == want, found
+
+
 def test_nearest_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [None, 1.0, 0.0]), (7, [1.0]), (100, [0.9, 0.1, 0.0]), (8, []), (None, [1.0, 1.0, 1.0]), (2, [0.0, 1.0, 0.0]), (9, [float("inf"), 0.0, 0.0])]

@@ -4,7 +4,9 @@ The mix is a row of slots of equal size in words. Slot n gets the point frac((n
 cumulative target weights map to a source; the points spread so evenly that any stretch of slots holds every source
 close to its weight. A slot's rank among its source's slots says which block of that source it takes: a source's
 documents, in an order shuffled by hash, form a stream of words, repeated as often as needed, and block r is the r-th
-piece of that stream. A document's share is what the scheduled blocks cover of it.
+piece of that stream. Each source's last block is cut so that its words are its target, rounded; blocks that the
+schedule lacks to reach it (whole slots can miss a target of about a block) join slots spread over the mix. A document's
+share is what these blocks cover of it.
 """
 
 from __future__ import annotations
@@ -45,6 +47,15 @@ def water_fill(sizes: list[int], weights: list[float], most: float) -> list[floa
     return targets
 
 
+def whole_targets(targets: list[float], sizes: list[int], most: int) -> list[int]:
+    """Targets in whole words with the same sum, each less than a word away: the largest remainders are rounded up."""
+    floors = [min(most * n, math.floor(t + 1e-6)) for t, n in zip(targets, sizes)]
+    rest = round(sum(targets)) - sum(floors)
+    for i in sorted((i for i, n in enumerate(sizes) if floors[i] < most * n), key=lambda i: floors[i] - targets[i])[: max(0, rest)]:
+        floors[i] += 1
+    return floors
+
+
 def prefix_by_bucket(rows: DataFrame, key: list[str], bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
     """rows with name: the sum of value over the rows of the same key before this one, by (bucket, order). The buckets'
     sums come first, so that only a bucket's rows meet in one task."""
@@ -75,7 +86,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     block = max(1, min(most_block, total // least_slots))
     slots = total // block + (1 if total % block else 0)
 
-    per_source = spark.createDataFrame([(i, r["source"], n, t, max(1, -(-r["m"] // 5000))) for i, (r, n, t) in enumerate(zip(found, sizes, targets))], "s int, source string, source_size long, target double, buckets int")
+    wholes = whole_targets(targets, sizes, most_repeats)
+    per_source = spark.createDataFrame([(i, r["source"], n, t, w, max(1, -(-r["m"] // 5000))) for i, (r, n, t, w) in enumerate(zip(found, sizes, targets, wholes))], "s int, source string, source_size long, target double, whole long, buckets int")
     listed = rows.join(per_source, rows["source"].eqNullSafe(per_source["source"])).drop(per_source["source"])
 
     # a source's stream of words: documents in hash order; the bucket is the hash's leading part
@@ -96,13 +108,18 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     source_at = F.aggregate(edge, F.lit(0), lambda acc, e: acc + F.when(e <= F.col("point"), 1).otherwise(0))
     schedule = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("s", source_at).withColumn("stretch", (n / F.lit(8192)).cast("long"))
     ranked = prefix_by_bucket(schedule.withColumn("one", F.lit(1).cast("long")).select("slot", "s", "stretch", "one"), ["s"], "stretch", [F.col("slot")], "one", "rank").select("slot", "s", "rank")
+    # blocks that a source's target needs beyond its slots: each shares the slot at its even place
+    had = ranked.groupBy("s").agg((F.max("rank") + 1).alias("had"))
+    lacking = per_source.select("s", F.ceil(F.col("whole") / block).cast("long").alias("needs")).join(had, "s", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long"))).filter("needs > had")
+    lacking = lacking.withColumn("rank", F.explode(F.sequence("had", F.col("needs") - 1)))
+    ranked = ranked.unionByName(lacking.select(F.floor((F.col("rank") + 0.5) / F.col("needs") * slots).cast("long").alias("slot"), "s", "rank"))
 
     # blocks by rank: the pass of each repeat of a document meets the blocks that overlap it
     passes = F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))).alias("pass")
-    repeats = placed.filter("size > 0").select("s", "doc_id", "size", "at", "source_size", "target", passes)
-    # a pass that begins beyond every scheduled block need not be listed: a source's slots exceed its share by a few only
+    repeats = placed.filter("size > 0").select("s", "doc_id", "size", "at", "source_size", "whole", passes)
+    # a source's blocks end at its whole target
     begin = F.col("pass") * F.col("source_size") + F.col("at")
-    repeats = repeats.withColumn("begin", begin).withColumn("end", F.col("begin") + F.col("size")).filter(F.col("begin") <= F.col("target") + F.lit(64.0 * block))
+    repeats = repeats.withColumn("begin", begin).withColumn("end", F.least(F.col("begin") + F.col("size"), "whole")).filter("begin < whole")
     overlaps = repeats.withColumn("rank", F.explode(F.sequence(F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long"))))
     words = F.least("end", (F.col("rank") + 1) * block) - F.greatest("begin", F.col("rank") * block)
     pieces = ranked.join(overlaps.select("s", "rank", "doc_id", "at", words.cast("long").alias("words")), ["s", "rank"])

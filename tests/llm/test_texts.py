@@ -117,6 +117,20 @@ def test_mix(spark, small, documents):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_mix_takes_targets_where_blocks_are_large(spark):
+    """Blocks as of 268 million words (4096 words), with a large source and tail sources of a few hundred words."""
+    rng = np.random.default_rng(3)
+    sizes = [120_000, 90_000] + [int(n) for n in rng.integers(150, 1200, 30)]
+    rows = [(100 * i + k, "w " * (n // 3 + (n % 3 if k == 0 else 0)), f"s{i:02d}") for i, n in enumerate(sizes) for k in range(3)]
+    documents, pieces = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), least_slots=1, most_block=4096)
+    taken = {r.s: r.n for r in pieces.groupBy("s").agg({"words": "sum"}).toDF("s", "n").collect()}
+    targets = {r.s: r.target for r in documents.select("s", "target").distinct().collect()}
+    assert sum(taken.values()) == sum(sizes)
+    assert all(abs(taken.get(s, 0) - t) < 1 for s, t in targets.items()), sum(s not in taken for s in targets)
+    last = -(-sum(sizes) // 4096)
+    assert all(0 <= r.slot < last for r in pieces.select("slot").distinct().collect())
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     n = len(odd_rows)
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (5, 1), (5, 0)], "doc_id long, quality int")

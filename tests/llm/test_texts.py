@@ -89,6 +89,22 @@ def test_languages_of_held_out_rows(spark):
     assert np.mean(right) > 0.97, np.mean(right)
 
 
+def test_texts_in_no_language_go(spark):
+    """Random letters, consonants and unlearned languages in Latin letters go; clean texts of a few words stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(5)
+    made = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(60))
+    odd = [made("abcdefghijklmnopqrstuvwxyz"), made("bcdfghjklmnpqrstvwxz")]
+    odd += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."]
+    odd += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa."]
+    clean = ["the house of the lord", "la maison de la mer", "die Frau und der Mann", "la casa de los niños"]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd + clean)], "doc_id long, text string, lang string")
+    kept = langid.keep_identified(docs.unionByName(more)).select("doc_id", "text").collect()
+    assert [r.text for r in sorted((r for r in kept if r.doc_id < 0), key=lambda r: -r.doc_id)] == clean
+    letters = docs.filter("text rlike '[a-zA-Z]'").count()
+    assert sum(r.doc_id >= 0 for r in kept) >= letters
+
+
 @pytest.mark.parametrize("sizes,weights", [([10, 10, 10], [1, 2, 3]), ([100, 1, 1], [1, 2, 3]), ([0, 5, 0], [1, 2, 3]), ([7], [1]), ([1, 1000, 30, 2], [1, 2, 3, 1])])
 def test_water_fill(sizes, weights):
     targets = mixing.water_fill(sizes, weights, 3)

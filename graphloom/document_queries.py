@@ -145,6 +145,7 @@ QUERIES: dict[str, Query] = {
     "chunk_documents": chunk_query,
     "display_name": display_name_query,
     "cytoscape_edges": lambda spark, sf_dir: cytoscape_edges(trade_graph(spark, sf_dir), excluded=("Order", "Part")),
+    "cytoscape_edges_all": lambda spark, sf_dir: cytoscape_edges(trade_graph(spark, sf_dir)),
     "info_counts": lambda spark, sf_dir: trade_graph(spark, sf_dir).counts(),
 }
 
@@ -168,6 +169,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT 'Nation:' || n_nationkey AS source, 'Region:' || n_regionkey AS target, 'IN_REGION' AS label FROM nation
         UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey, 'LIVES_IN' FROM customer
         UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey, 'BASED_IN' FROM supplier)""",
+    "cytoscape_edges_all": """SELECT source || '-' || label || '-' || target AS id, source, target, label FROM (
+        SELECT 'Nation:' || n_nationkey AS source, 'Region:' || n_regionkey AS target, 'IN_REGION' AS label FROM nation
+        UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey, 'LIVES_IN' FROM customer
+        UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey, 'BASED_IN' FROM supplier
+        UNION ALL SELECT 'Customer:' || o_custkey, 'Order:' || o_orderkey, 'PLACED' FROM orders
+        UNION ALL SELECT 'Order:' || l_orderkey, 'Part:' || l_partkey, 'CONTAINS' FROM lineitem
+        UNION ALL SELECT 'Supplier:' || l_suppkey, 'Part:' || l_partkey, 'SUPPLIED' FROM lineitem)""",
     "info_counts": """SELECT 'Region' AS name, 'NODE' AS type, count(*) AS rows FROM region UNION ALL SELECT 'Nation', 'NODE', count(*) FROM nation UNION ALL SELECT 'Customer', 'NODE', count(*) FROM customer
         UNION ALL SELECT 'Supplier', 'NODE', count(*) FROM supplier UNION ALL SELECT 'Part', 'NODE', count(*) FROM part UNION ALL SELECT 'Order', 'NODE', count(*) FROM orders UNION ALL SELECT 'Document', 'NODE', count(*) FROM documents
         UNION ALL SELECT 'IN_REGION', 'REL', count(*) FROM nation UNION ALL SELECT 'LIVES_IN', 'REL', count(*) FROM customer UNION ALL SELECT 'BASED_IN', 'REL', count(*) FROM supplier

@@ -158,6 +158,15 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH p = shortestPath((a:Nation)-[:IN_REGION*..2]-(b:Nation)) WHERE a.n_nationkey < 5 AND a <> b RETURN a.n_name AS a, b.n_name AS b, length(p) AS hops",
         "SELECT a.n_name AS a, b.n_name AS b, 2::INTEGER AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_nationkey < 5",
     ),
+    "var_length_bounds_all": (
+        "MATCH (c:Customer)-[*2..2]->(m) RETURN labels(m)[0] AS label, count(*) AS n",
+        """SELECT 'Region' AS label, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey
+        UNION ALL SELECT 'Part', count(*) FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey""",
+    ),
+    "shortest_path_len_all": (
+        "MATCH p = shortestPath((a:Nation)-[:IN_REGION*..2]-(b:Nation)) WHERE a <> b RETURN a.n_name AS a, b.n_name AS b, length(p) AS hops",
+        "SELECT a.n_name AS a, b.n_name AS b, 2::INTEGER AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    ),
     "degree_topk": (
         "MATCH (n:Part)-[r]-() RETURN n.p_partkey AS partkey, count(r) AS degree ORDER BY degree DESC, partkey LIMIT 10",
         "SELECT l_partkey AS partkey, 2 * count(*) AS degree FROM lineitem GROUP BY l_partkey ORDER BY degree DESC, partkey LIMIT 10",
@@ -206,6 +215,10 @@ CYPHER: dict[str, tuple[str, str]] = {
         "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN n.n_name AS nation, s.s_name AS supplier ORDER BY n.n_name, s.s_acctbal DESC, s.s_name LIMIT 20",
         "SELECT n_name AS nation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY n_name, s_acctbal DESC, s_name LIMIT 20",
     ),
+    "order_multi_key_all": (
+        "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN n.n_name AS nation, s.s_name AS supplier ORDER BY n.n_name, s.s_acctbal DESC, s.s_name",
+        "SELECT n_name AS nation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY n_name, s_acctbal DESC, s_name",
+    ),
     "arithmetic": (
         "MATCH (o:Order)-[r:CONTAINS]->() RETURN o.o_orderkey % 10 AS digit, round(sum(r.extendedprice * (1 - r.discount)), 2) AS revenue, count(*) + 1 AS n",
         "SELECT o_orderkey % 10 AS digit, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) + 1 AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",

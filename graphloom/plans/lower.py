@@ -70,6 +70,21 @@ class Edge:
         return F.when(self.col(EID).isNotNull(), F.struct(self.col(EID).alias(ID), self.col(SRC).alias(SRC), self.col(DST).alias(DST), self.col(LABEL).alias(LABEL), *[self.col(p).alias(p) for p in self.props]))
 
 
+@dataclass(frozen=True)
+class Trail:
+    """The edges of a path of variable length: a column of their types and ids, and the positions of their tables."""
+
+    name: str
+    tables: tuple
+
+    def apart(self, other: Edge | Trail) -> Column:
+        """Whether other shares no edge with this one."""
+        mine = F.col(f"`{self.name}`")
+        if isinstance(other, Trail):
+            return ~F.arrays_overlap(mine, F.col(f"`{other.name}`"))
+        return ~F.array_contains(mine, F.concat(other.col(LABEL), F.lit(":"), other.col(EID)))
+
+
 @dataclass(frozen=True)
 class Value:
     column: Column
@@ -182,20 +197,49 @@ class Lowering:
         return self.df
 
     def match(self, c: P.Match) -> None:
+        if self.df is None and c.where is not None and len(c.paths) == 1 and not c.paths[0].edges and not c.paths[0].variable:
+            n = c.paths[0].nodes[0]
+            if len(self.labels_of(n)) > 1 and any(isinstance(x, P.PatternTest) for x in P.walk(c.where)):
+                self.match_by_label(n, c.where)
+                return
         self.df, self.scope = self.extend(self.df, self.scope, c.paths, c.where)
 
+    def match_by_label(self, n: P.NodePattern, where) -> None:
+        """Nodes of several labels that pass pattern tests: each label is tested by its own keys, against the edge tables
+        that can touch it."""
+        name, labels = n.variable or f"_anon{next(self.fresh)}", self.labels_of(n)
+        self.uses.setdefault(name, set()).update(k for k, _ in n.props)
+        frame, node = self.node_frame(name, labels)
+        kinds = {p: frame.schema[f"{name}${p}"].dataType for p in node.props}
+        out: DataFrame | None = None
+        for x in labels:
+            table = self.graph.nodes[x]
+            one = table.df.select(F.col(ID).alias(f"{name}${ID}"), F.lit(x).alias(f"{name}${LABEL}"), *[(F.col(p) if p in table.properties else F.lit(None)).cast(kinds[p]).alias(f"{name}${p}") for p in node.props])
+            scope: Scope = {name: Node(name, (x,), node.props)}
+            one = self.with_props(one, scope, scope[name], n.props)
+            for e in conjuncts(where):
+                one = self.filtered(one, scope, e)
+            one = one.select(global_id(x, F.col(f"`{name}${ID}`")).alias(f"{name}${ID}"), *[F.col(f"`{c}`") for c in node.columns[1:]])
+            out = one if out is None else out.union(one)
+        self.df, self.scope = out, {name: node}
+
     def extend(self, df: DataFrame | None, scope: Scope, paths: tuple, where) -> tuple[DataFrame, Scope]:
         """df joined with everything that matches paths, filtered by where."""
         scope = dict(scope)
-        edges: list[Edge] = []
+        edges: list[Edge | Trail] = []
         for path in self.ordered(paths, scope):
             df, found = self.path(df, scope, path, where)
             edges += found
         if not self.walk:
             for i, a in enumerate(edges):
                 for b in edges[:i]:
-                    if set(a.tables) & set(b.tables):
+                    if not set(a.tables) & set(b.tables):
+                        continue
+                    if isinstance(a, Trail) or isinstance(b, Trail):
+                        df = df.filter(a.apart(b) if isinstance(a, Trail) else b.apart(a))
+                    else:
                         df = df.filter((a.col(LABEL) != b.col(LABEL)) | (a.col(EID) != b.col(EID)) if len(a.tables) > 1 or len(b.tables) > 1 else a.col(EID) != b.col(EID))
+        df = df.drop(*[x.name for x in edges if isinstance(x, Trail)])
         for e in conjuncts(where) if where is not None else []:
             df = self.filtered(df, scope, e)
         return df, scope
@@ -297,7 +341,7 @@ class Lowering:
                 raise QueryError(f"no node label {x}; there are {', '.join(self.graph.nodes)}")
         return n.labels or tuple(self.graph.nodes)
 
-    def path(self, df: DataFrame | None, scope: Scope, path: P.PathPattern, where) -> tuple[DataFrame, list[Edge]]:
+    def path(self, df: DataFrame | None, scope: Scope, path: P.PathPattern, where) -> tuple[DataFrame, list[Edge | Trail]]:
         names = [n.variable or f"_anon{next(self.fresh)}" for n in path.nodes]
         nodes = [replace(n, variable=v) for n, v in zip(path.nodes, names)]
         for n in nodes:
@@ -314,14 +358,15 @@ class Lowering:
                 df = self.scan(df, scope, nodes[begin], labels[begin])
         else:
             df = self.given(df, scope, nodes[begin])
-        edges: list[Edge] = []
+        edges: list[Edge | Trail] = []
         parts: dict[int, Edge | None] = {}
         for i in [*range(begin, len(path.edges)), *range(begin - 1, -1, -1)]:
             forward = i >= begin
             e = path.edges[i] if forward else self.turned(path.edges[i])
             a, b = (i, i + 1) if forward else (i + 1, i)
             if e.variable_length:
-                df = self.many_hops(df, scope, nodes[a], e, nodes[b], labels[b])
+                df, trail = self.many_hops(df, scope, nodes[a], e, nodes[b], labels[b])
+                edges.append(trail)
                 parts[i] = None
             else:
                 df, parts[i] = self.hop(df, scope, nodes[a], e, nodes[b], labels[a], labels[b])
@@ -499,85 +544,180 @@ class Lowering:
             df = self.with_props(df, scope, node, b.props)
         return df.drop(f"{name}$_a", f"{name}$_al", f"{name}$_b", f"{name}$_bl"), edge
 
-    def walks(self, e: P.EdgePattern) -> DataFrame:
-        """_a, _b, _bl, _e: steps of a pattern of any length, by ids across labels."""
+    # paths of many edges: a frame per label, by that label's own keys, with only the edge tables that can still lead to a goal
+
+    def steps(self, e: P.EdgePattern) -> dict[str, list[tuple[EdgeTable, str, str]]]:
+        """For each label the edge tables that lead away from it: (table, direction, label reached)."""
         everything = tuple(self.graph.nodes)
-        out: DataFrame | None = None
+        out: dict[str, list[tuple[EdgeTable, str, str]]] = {}
         for t, d in self.tables(e, everything, everything):
-            src, dst = global_id(t.source, F.col(SRC)), global_id(t.target, F.col(DST))
-            a, b, label = (src, dst, t.target) if d == "out" else (dst, src, t.source)
-            df = t.with_id
-            if d == "in" and e.direction == "both" and t.source == t.target:
-                df = df.filter(F.col(SRC).cast("string") != F.col(DST).cast("string"))
-            one = df.select(a.alias("_a"), b.alias("_b"), F.lit(label).alias("_bl"), F.concat(F.lit(t.name + ":"), F.col(EID).cast("string")).alias("_e"), F.lit(t.name).alias("_t"))
-            out = one if out is None else out.union(one)
-        if out is None:
+            a, b = (t.source, t.target) if d == "out" else (t.target, t.source)
+            out.setdefault(a, []).append((t, d, b))
+        if not out:
             raise QueryError("no edge fits this pattern")
         return out
 
-    def many_hops(self, df: DataFrame, scope: Scope, a: P.NodePattern, e: P.EdgePattern, b: P.NodePattern, labels: tuple) -> DataFrame:
+    def leading(self, steps: dict[str, list], goals: tuple, most: int) -> list[set[str]]:
+        """Labels from which a goal can be met in at most n steps, by n."""
+        out = [set(goals)]
+        for _ in range(most):
+            out.append(out[-1] | {a for a, some in steps.items() if any(b in out[-1] for *_, b in some)})
+        return out
+
+    def stepped(self, now: DataFrame, native: bool, label: str, t: EdgeTable, d: str, both: bool) -> DataFrame:
+        """now joined with the edges of a table that begin at _to: _b (the key they lead to), _e and _t."""
+        df = t.with_id
+        if d == "in" and both and t.source == t.target:
+            df = df.filter(F.col(SRC).cast("string") != F.col(DST).cast("string"))  # a loop counts once
+        a, b = (SRC, DST) if d == "out" else (DST, SRC)
+        key = F.col(a) if native else global_id(label, F.col(a))
+        edges = df.select(key.alias("_a"), F.col(b).alias("_b"), F.concat(F.lit(t.name + ":"), F.col(EID).cast("string")).alias("_e"), F.lit(t.name).alias("_t"))
+        return now.join(edges, F.col("_to") == F.col("_a"))
+
+    def starts(self, df: DataFrame, left: Node, *more: Column) -> dict[str, tuple[DataFrame, bool]]:
+        """For each label of left: (_from, _to and more, whether _to is the label's own key)."""
+        if len(left.labels) == 1:
+            return {left.labels[0]: (df.select(left.col(ID).alias("_from")).distinct().select("_from", F.col("_from").alias("_to"), *more), True)}
+        now = df.select(left.col(ID).alias("_from"), left.col(LABEL).alias("_l")).distinct()
+        return {x: (now.filter(F.col("_l") == x).select("_from", F.col("_from").alias("_to"), *more), False) for x in left.labels}
+
+    def arrived(self, parts: list[tuple[str, DataFrame, bool]], wide: bool, columns: list[str], empty: DataFrame) -> DataFrame:
+        """What led to goals as one frame: _from, _to (an id across labels if wide, else the one goal's key), _tl, columns."""
+        out: DataFrame | None = None
+        for label, df, native in parts:
+            to = global_id(label, F.col("_to")) if wide and native else F.col("_to")
+            one = df.select("_from", to.alias("_to"), F.lit(label).alias("_tl"), *columns)
+            out = one if out is None else out.union(one)
+        return out if out is not None else empty.filter(F.lit(False)).select("_from", "_to", F.lit(None).cast("string").alias("_tl"), *columns)
+
+    def ended(self, df: DataFrame, scope: Scope, found: DataFrame, left: Node, b: P.NodePattern, goals: tuple, wide: bool) -> DataFrame:
+        """df joined with the paths found from left, whose ends b names."""
+        bound = scope.get(b.variable)
+        on = left.col(ID) == F.col("_from")
+        if isinstance(bound, Node):
+            across = wide or len(bound.labels) > 1
+            to = global_id(goals[0], F.col("_to")) if across and not wide else F.col("_to")
+            return self.given(df.join(found, on & ((bound.gid if across else bound.col(ID)) == to)), scope, b)
+        df = df.join(found, on)
+        if self.bare(b, goals) and wide == (len(goals) > 1):
+            scope[b.variable] = Node(b.variable, goals, ())
+            return df.withColumn(f"{b.variable}${ID}", F.col("_to")).withColumn(f"{b.variable}${LABEL}", F.col("_tl"))
+        frame, node = self.node_frame(b.variable, goals)
+        scope[b.variable] = node
+        return self.with_props(df.join(frame, (node.gid if wide else node.col(ID)) == F.col("_to")), scope, node, b.props)
+
+    def goals_of(self, scope: Scope, left: Node, b: P.NodePattern, labels: tuple, steps: dict[str, list], least: int, most: int) -> tuple:
+        """Labels that b can have at the end of such a path."""
+        bound = scope.get(b.variable)
+        wanted = bound.labels if isinstance(bound, Node) else labels
+        met, level = set(left.labels) if least == 0 else set(), set(left.labels)
+        for n in range(1, most + 1):
+            level = {b for a in level for *_, b in steps.get(a, [])}
+            met |= level if n >= least else set()
+        return tuple(x for x in wanted if x in met) or tuple(wanted[:1])
+
+    def many_hops(self, df: DataFrame, scope: Scope, a: P.NodePattern, e: P.EdgePattern, b: P.NodePattern, labels: tuple) -> tuple[DataFrame, Trail]:
         """Trails of least to most edges, unrolled into joins; no edge is used twice."""
         left = scope[a.variable]
         least, most = e.least if e.least is not None else 1, e.most if e.most is not None else self.max_hops
-        bound = scope.get(b.variable)
-        steps = self.walks(e)
-        now = df.select(left.gid.alias("_from"), left.col(LABEL).alias("_l")).distinct().select("_from", F.col("_from").alias("_to"), F.col("_l").alias("_tl"), F.array().cast("array<string>").alias("_used"), F.array().cast("array<string>").alias("_types"))
-        found = now if least == 0 else None
+        if most < least:
+            raise QueryError("a pattern of variable length needs an upper end that is not below its lower end")
+        steps = self.steps(e)
+        goals = self.goals_of(scope, left, b, labels, steps, least, most)
+        leading = self.leading(steps, goals, most)
+        texts = F.array().cast("array<string>")
+        now = self.starts(df, left, texts.alias("_used"), texts.alias("_types"))
+        used: dict[str, set[int]] = {x: set() for x in now}
+        first = next(iter(now.values()))[0]
+        columns = ["_used", "_types"]
+        parts = [(x, one, native) for x, (one, native) in now.items() if x in goals] if least == 0 else []
+        everywhere: set[int] = set()
         for n in range(1, most + 1):
-            now = now.join(steps, F.col("_to") == F.col("_a"))
-            if not self.walk:
-                now = now.filter(~F.array_contains("_used", F.col("_e")))
-            now = now.select("_from", F.col("_b").alias("_to"), F.col("_bl").alias("_tl"), F.array_append("_used", F.col("_e")).alias("_used"), F.array_append("_types", F.col("_t")).alias("_types"))
+            reached: dict[str, DataFrame] = {}
+            tables: dict[str, set[int]] = {}
+            for x, (one, native) in now.items():
+                for t, d, y in steps.get(x, []):
+                    if y not in leading[most - n]:
+                        continue
+                    k = self.graph.edges.index(t)
+                    further = self.stepped(one, native, x, t, d, e.direction == "both")
+                    if not self.walk and k in used[x]:
+                        further = further.filter(~F.array_contains("_used", F.col("_e")))
+                    further = further.select("_from", F.col("_b").alias("_to"), F.array_append("_used", F.col("_e")).alias("_used"), F.array_append("_types", F.col("_t")).alias("_types"))
+                    reached[y] = reached[y].union(further) if y in reached else further
+                    tables[y] = tables.get(y, set()) | used[x] | {k}
+            now, used = {y: (one, True) for y, one in reached.items()}, tables
+            everywhere |= set().union(*tables.values()) if tables else set()
             if n >= least:
-                found = now if found is None else found.union(now)
-        if found is None:
-            raise QueryError("a pattern of variable length needs an upper end that is not below its lower end")
-        found = found.filter(F.col("_tl").isin(*(bound.labels if isinstance(bound, Node) else labels)))
-        df = df.join(found, left.gid == F.col("_from"))
-        if isinstance(bound, Node):
-            df = self.given(df.filter(bound.gid == F.col("_to")), scope, b)
-        else:
-            frame, node = self.node_frame(b.variable, labels)
-            scope[b.variable] = node
-            df = df.join(frame, node.gid == F.col("_to"))
-            df = self.with_props(df, scope, node, b.props)
+                parts += [(y, one, native) for y, (one, native) in now.items() if y in goals]
+        wide = len(goals) > 1 or not all(native for *_, native in parts)
+        df = self.ended(df, scope, self.arrived(parts, wide, columns, first), left, b, goals, wide)
+        number = next(self.fresh)
+        trail = Trail(f"_trail{number}", tuple(everywhere))
+        df = df.withColumnRenamed("_used", trail.name)
         if e.variable:
-            name = f"_edges{next(self.fresh)}"
+            name = f"_edges{number}"
             df = df.withColumn(name, F.col("_types"))
             scope[e.variable] = Value(F.col(name), name)
-        return df.drop("_from", "_to", "_tl", "_used", "_types")
+        return df.drop("_from", "_to", "_tl", "_types"), trail
 
     def shortest(self, df: DataFrame | None, scope: Scope, path: P.PathPattern, nodes: list[P.NodePattern], where) -> DataFrame:
         """One shortest path for each pair of ends, of equally short ones the first by its nodes' ids: levels of a
-        breadth-first search, each with the best path to every node not met before."""
+        breadth-first search, each with the best path to every node not met before. Ends that are not bound yet are
+        joined to what the search has found."""
         if len(path.edges) != 1:
             raise QueryError("shortestPath takes one edge pattern")
-        e = path.edges[0]
-        for n in (nodes[0], nodes[-1]):
-            df = self.given(df, scope, n) if n.variable in scope else self.scan(df, scope, n, self.labels_of(n))
+        e, begin, end = path.edges[0], nodes[0], nodes[-1]
+        back = end.variable in scope and begin.variable not in scope
+        if back:
+            e, begin, end = self.turned(e), end, begin
+        df = self.given(df, scope, begin) if begin.variable in scope else self.scan(df, scope, begin, self.labels_of(begin))
         for c in conjuncts(where) if where is not None else []:
             names = {x.name for x in P.walk(c) if isinstance(x, P.Variable)}
             if names and names <= set(scope) and not any(isinstance(x, P.PatternTest) for x in P.walk(c)):
                 df = self.filtered(df, scope, c)
-        a, b = scope[nodes[0].variable], scope[nodes[-1].variable]
-        pairs = df.select(a.gid.alias("_from"), b.gid.alias("_goal")).distinct()
+        left = scope[begin.variable]
         most = (e.most if e.most is not None else self.max_hops) if e.variable_length else 1
         least = e.least if e.least is not None else 1
-        steps = self.walks(e).select("_a", "_b", "_t")
-        now = pairs.select("_from").distinct().select("_from", F.col("_from").alias("_to"), F.array("_from").alias("_nodes"), F.array().cast("array<string>").alias("_types"))
-        met, found = now.select("_from", "_to"), now if least == 0 else None
-        for _ in range(1, most + 1):
-            stepped = now.join(steps, F.col("_to") == F.col("_a")).select("_from", F.col("_b").alias("_to"), F.array_append("_nodes", F.col("_b")).alias("_nodes"), F.array_append("_types", F.col("_t")).alias("_types"))
-            now = stepped.join(met, ["_from", "_to"], "left_anti").groupBy("_from", "_to").agg(F.min(F.struct("_nodes", "_types")).alias("_p")).select("_from", "_to", F.col("_p._nodes").alias("_nodes"), F.col("_p._types").alias("_types"))
-            met = met.union(now.select("_from", "_to"))
-            found = now if found is None else found.union(now)
-        found = found.filter(F.size("_types") >= least) if least > 1 else found
+        steps = self.steps(e)
+        goals = self.goals_of(scope, left, end, self.labels_of(end), steps, least, most)
+        leading = self.leading(steps, goals, most)
+        own = F.col("_from") if len(left.labels) > 1 else global_id(left.labels[0], F.col("_from"))
+        now = self.starts(df, left, F.array(own).alias("_nodes"), F.array().cast("array<string>").alias("_types"))
+        first = next(iter(now.values()))[0]
+        columns = ["_nodes", "_types"]
+        met = {x: one.select("_from", (F.col("_to") if native else F.col("_from")).alias("_to")) for x, (one, native) in now.items()}
+        keyed = {x: native for x, (_, native) in now.items()}  # whether what is met is known by the label's own keys
+        parts = [(x, one, native) for x, (one, native) in now.items() if x in goals] if least == 0 else []
+        add = (lambda c, x: F.array_prepend(c, x)) if back else (lambda c, x: F.array_append(c, x))
+        for n in range(1, most + 1):
+            reached: dict[str, DataFrame] = {}
+            for x, (one, native) in now.items():
+                for t, d, y in steps.get(x, []):
+                    if y in leading[most - n]:
+                        further = self.stepped(one, native, x, t, d, e.direction == "both")
+                        further = further.select("_from", F.col("_b").alias("_to"), add("_nodes", global_id(y, F.col("_b"))).alias("_nodes"), add("_types", F.col("_t")).alias("_types"))
+                        reached[y] = reached[y].union(further) if y in reached else further
+            now = {}
+            for y, one in reached.items():
+                if y in met:
+                    known = met[y]
+                    key = F.col("_to") if keyed[y] else global_id(y, F.col("_to"))
+                    known = known.select(F.col("_from").alias("_kf"), F.col("_to").alias("_kt"))
+                    one = one.join(known, (F.col("_from") == F.col("_kf")) & (key == F.col("_kt")), "left_anti")
+                one = one.groupBy("_from", "_to").agg(F.min(F.struct("_nodes", "_types")).alias("_p")).select("_from", "_to", F.col("_p._nodes").alias("_nodes"), F.col("_p._types").alias("_types"))
+                now[y] = (one, True)
+                fresh = one.select("_from", (F.col("_to") if keyed.setdefault(y, True) else global_id(y, F.col("_to"))).alias("_to"))
+                met[y] = met[y].union(fresh) if y in met else fresh
+            if n >= least:
+                parts += [(y, one, native) for y, (one, native) in now.items() if y in goals]
+        wide = len(goals) > 1 or not all(native for *_, native in parts)
+        df = self.ended(df, scope, self.arrived(parts, wide, columns, first), left, end, goals, wide)
         name = path.variable or f"_path{next(self.fresh)}"
         column = f"_path{next(self.fresh)}"
-        df = df.join(found, (a.gid == F.col("_from")) & (b.gid == F.col("_to")))
         df = df.withColumn(column, F.struct(F.col("_nodes").alias("nodes"), F.col("_types").alias("types"), F.size("_types").alias("length")))
         scope[name] = Value(F.col(column), column)
-        return df.drop("_from", "_to", "_nodes", "_types")
+        return df.drop("_from", "_to", "_tl", "_nodes", "_types")
 
     # other clauses
 
@@ -834,7 +974,8 @@ class Lowering:
                 raise QueryError(f"{e.name} takes one argument")
             b = self.entity(e.args[0], scope)
             if b is not None and e.name == "count":
-                of = (b.gid if len(b.labels) > 1 else b.col(ID)) if isinstance(b, Node) else b.col(EID)
+                # what is there has a label, which costs nothing to read
+                of = b.col(LABEL) if not e.distinct else (b.gid if len(b.labels) > 1 else b.col(ID)) if isinstance(b, Node) else b.col(EID)
             else:
                 of = self.expression(e.args[0], scope)
             return AGGREGATES[e.name](of, e.distinct)

@@ -61,6 +61,17 @@ CASES = [
     ("MATCH (p:Person) RETURN p.name AS n, count(*) GROUP BY p.name ORDER BY n SKIP 1 LIMIT 1", [("Bob", 1)]),
     ("UNWIND [1, 2, 3] AS x RETURN x * 2 + 1 AS y, x % 2 AS odd", [(3, 1), (5, 0), (7, 1)]),
     ("MATCH (p:Person) RETURN substring(p.name, 1, 2) AS s, toInteger('7') AS i, toInteger('x') AS bad, date('2024-02-30') AS d ORDER BY s LIMIT 1", [("'H", 7, None, None)]),
+    ("RETURN array_join(['a', 'b'], ';') AS j, toInteger('9007199254740993') AS i, toInteger('3.7') AS k, toInteger('1e30') AS big, round(0.125, 2) AS r", [("a;b", 9007199254740993, 3, None, 0.13)]),
+    ("UNWIND [0, 1, 1, 1] AS x RETURN avg(DISTINCT x) AS a, stdev(DISTINCT x) AS s, stdevp(DISTINCT x) AS p, sum(DISTINCT x) AS t", [(0.5, 0.5**0.5, 0.5, 1)]),
+    ("MATCH (a:Person)-[r:WORKS_AT]->(f:Firm)<-[:WORKS_AT*1..1]-(b:Person) RETURN a.name, b.name", [("Ann", "Bob"), ("Bob", "Ann")]),
+    ("MATCH (a:Person)-[:WORKS_AT*1..1]->(f:Firm)<-[:WORKS_AT*1..2]-(b:Person) RETURN a.name, b.name", [("Ann", "Bob"), ("Bob", "Ann")]),
+    ("MATCH (a)-[*0..1]->(f:Firm) RETURN labels(a)[0] AS l, f.name AS f", [("Firm", "Xeno"), ("Firm", "Yard"), ("Person", "Xeno"), ("Person", "Xeno")]),
+    ("MATCH (a:Person)-[:KNOWS*1..2]->(m) RETURN a.name, m.name", [("Ann", "Bob"), ("Ann", "Cid"), ("Bob", "Cid"), ("Bob", "Ann"), ("Bob", "Cid"), ("Cid", "Ann"), ("Cid", "Bob"), ("Cid", "Cid"), ("Cid", "Ann")]),
+    ("MATCH (a:Firm)-[:KNOWS*1..2]->(m) RETURN count(m) AS n", [(0,)]),
+    ("MATCH p = shortestPath((a)-[*..3]-(f:Firm {id: 'x'})) RETURN a.name AS a, length(p) AS n", [("Ann", 1), ("Bob", 1), ("Cid", 2)]),
+    ("MATCH (f:Firm) MATCH p = shortestPath((a:Person)-[*..3]->(f)) RETURN a.name AS a, nodes(p) AS n", [("Ann", ["Person:1", "Firm:x"]), ("Bob", ["Person:2", "Firm:x"]), ("Cid", ["Person:3", "Person:1", "Firm:x"])]),
+    ("MATCH (n) WHERE NOT (n)--() RETURN labels(n)[0] AS l, n.name AS n", [("Firm", "Yard"), ("Person", "O'Hara")]),
+    ("MATCH (n) WHERE (n)-[:WORKS_AT]->() OR n.name = 'Yard' RETURN id(n) AS i, count(n) AS k", [("Person:1", 1), ("Person:2", 1), ("Firm:y", 1)]),
     ("CALL table_info('Firm') RETURN name, type", [("id", "STRING"), ("name", "STRING"), ("seat", "STRUCT(city STRING, floor INT32)")]),
     ("CALL show_tables() RETURN *", [("Firm", "NODE"), ("KNOWS", "REL"), ("Person", "NODE"), ("WORKS_AT", "REL")]),
 ]
@@ -142,6 +153,12 @@ def test_random_graphs_against_plain_evaluation(spark, seed):
     for v in range(n):
         go(v, frozenset(), v)
     assert rows(graph.cypher("MATCH (a:N)-[:E*1..3]->(b:N) RETURN a.id, b.id")) == sorted(trails, key=str)
+    # a fixed edge beside a path of variable length, and two such paths: no edge is used twice
+    hops = lambda at, used, k: [(b, used | {i}) for i, a, b in edges if a == at and i not in used] if k == 1 else [y for b, u in hops(at, used, 1) for y in hops(b, u, k - 1)]
+    beside = [(a, b, c) for i, a, b in edges for k in (1, 2) for c, _ in hops(b, frozenset([i]), k)]
+    assert rows(graph.cypher("MATCH (a:N)-[:E]->(b:N)-[:E*1..2]->(c:N) RETURN a.id, b.id, c.id")) == sorted(beside, key=str)
+    twice = [(a, b, c) for a in range(n) for k in (1, 2) for b, used in hops(a, frozenset(), k) for j in (1, 2) for c, _ in hops(b, used, j)]
+    assert rows(graph.cypher("MATCH (a:N)-[:E*1..2]->(b:N)-[:E*1..2]->(c:N) RETURN a.id, b.id, c.id")) == sorted(twice, key=str)
 
 
 def test_loops(g):

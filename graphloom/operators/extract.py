@@ -104,7 +104,7 @@ def extract_nodes(docs: DataFrame, schema: GraphSchema, label: str, now: str, so
         source = source_key if source_key is not None else F.col("_key")
         made = {"name": name, "_original_name": name, "_dedup_key": key, "_created_at": F.lit(now), "_updated_at": F.lit(now), "alternate_names": F.array().cast("array<string>")}
         made |= {x.name: x.value(F.col("_item"), F.col("_root"), source) for x in n.extra}
-        order = F.struct(F.col("_ord").cast("long").alias("doc"), F.lit(schema.nodes.index(n)).alias("node"), F.lit(k).alias("path"), F.col("_item_place").alias("place"))
+        order = F.struct(F.col("_ord").alias("doc"), F.lit(schema.nodes.index(n)).alias("node"), F.lit(k).alias("path"), F.col("_item_place").alias("place"))
         one = df.select("_key", order.alias(AT), *[(made[f.name].cast(f.dataType) if f.name in made else property_of(df, "_item", f.name, f.dataType)).alias(f.name) for f in columns.fields if f.name != "id"])
         out = one if out is None else out.unionByName(one)
     if out is None:

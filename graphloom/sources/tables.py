@@ -42,16 +42,21 @@ def read_documents(spark: SparkSession, path: str, root: type, keys: list[str] |
     schema = T.StructType([*source_type(root).fields, T.StructField("_corrupt_record", T.StringType())])
     files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1)
+    key = F.regexp_extract(file_path(), r"([^/]+?)(\.json)?$", 1)
     rows = files.select(key.alias("_key"), parsed.alias("_doc")).select("_key", "_doc.*")
     if keys is not None:
         rows = rows.filter(F.col("_key").isin(*keys))
     return with_order(rows)
 
 
+def file_path() -> Column:
+    """Where a row was read, as its path is written: the metadata's is a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def with_order(rows: DataFrame) -> DataFrame:
-    """rows with _ord, the key's place in key order, for sources that have no order of their own."""
-    return rows if "_ord" in rows.columns else rows.withColumn("_ord", F.conv(F.substring(F.hex(F.rpad("_key", 7, "\u0000")), 1, 14), 16, 10).cast("long"))
+    """rows with _ord, the key itself, for sources that have no order of their own: whole keys, in order of code points."""
+    return rows if "_ord" in rows.columns else rows.withColumn("_ord", F.col("_key"))
 
 
 def document(spark: SparkSession, path: str, root: type, key: str) -> DataFrame:
@@ -67,7 +72,7 @@ def text_files(spark: SparkSession, path: str, included: tuple[str, ...] = ("*.m
     """filename and content of the files below a folder whose names fit a pattern and none of the excluded ones."""
     like = lambda p: "(^|.*/)" + re.escape(p).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]") + "$"
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    name = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
+    name = F.regexp_replace(file_path(), r"^file:/*", "/")
     rows = files.select(name.alias("filename"), F.col("value").alias("content"))
     keep = F.lit(False)
     for p in included:
@@ -86,16 +91,9 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     if ending == "csv":
         return spark.read.options(**({"header": True, "inferSchema": True, "multiLine": True, "escape": '"'} | options)).csv(path)
     if ending in ("xlsx", "xls"):
-        try:
-            import openpyxl  # noqa: F401
-        except ImportError as e:
-            raise ValueError("Excel files need openpyxl") from e
-        import io
-
-        import pandas as pd
+        from .workbook import read_workbook
 
-        content = spark.read.format("binaryFile").load(path).select("content").first()
-        return spark.createDataFrame(pd.read_excel(io.BytesIO(content["content"]), **options))
+        return read_workbook(spark, path, ending, **options)
     raise ValueError(f"can't read {path}: not a CSV or Excel file")
 
 

@@ -20,10 +20,10 @@ def read_document_stream(spark: SparkSession, path: str, root: type, files_per_t
 
 def ingest_stream(documents: DataFrame, store: GraphStore, schema: GraphSchema, checkpoint: str, dedup_edges: bool = True, available_now: bool = True) -> StreamingQuery:
     """Merges every micro-batch into the store. Batches keep their order: what comes later overwrites as a later
-    document would. A batch that runs again merges to the same nodes, and with dedup_edges to the same edges."""
+    document would; within a batch documents go by key. A batch that runs again merges to the same nodes, and with dedup_edges to the same edges."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        ordered = batch.withColumn("_ord", F.lit(number).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("_key"), F.lit(1 << 40)))
+        ordered = batch.withColumn("_ord", F.struct(F.lit(number).cast("long").alias("batch"), F.col("_key").alias("key")))
         store.add_documents(ordered, schema, dedup_edges=dedup_edges)
 
     writer = documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

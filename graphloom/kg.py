@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from statistics import mean, pstdev
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.export import graph_html
+from .operators.export import TooLarge, graph_html, write_graph
 from .schema import GraphSchema
 from .sources.tables import TableSource, parse_pull, pull
 from .store import Files, GraphStore, IngestStatistics, now_text
@@ -131,29 +133,26 @@ class KnowledgeGraph:
         if text not in self.warnings:
             self.warnings.append(text)
 
-    # logs: one JSON object a line
+    # logs: a folder of one-line JSON files, whose names are in order of time, so that an entry costs its own size
 
     def _append(self, name: str, entry: dict) -> None:
-        path = f"{self.folder}/{name}"
-        before = self.files.read(path) if self.files.exists(path) else ""
-        self.files.write(path, before + json.dumps(entry) + "\n")
+        self.files.write(f"{self.folder}/{name}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.json", json.dumps(entry) + "\n")
 
     def _recent(self, name: str, n: int) -> list[dict]:
         path = f"{self.folder}/{name}"
-        lines = self.files.read(path).splitlines() if self.files.exists(path) else []
-        return [json.loads(x) for x in lines[::-1][:n]]
+        return [json.loads(self.files.read(f"{path}/{x}")) for x in self.files.names(path)[::-1][:n]]
 
     def log_outcome(self, result: RunResult) -> None:
-        self._append("outcomes.jsonl", {"at": now_text(), "path": result.path, "seconds": round(result.seconds, 3), **asdict(result.statistics), "warnings": len(result.warnings)})
+        self._append("outcomes", {"at": now_text(), "path": result.path, "seconds": round(result.seconds, 3), **asdict(result.statistics), "warnings": len(result.warnings)})
         for w in result.warnings:
-            self._append("warnings.jsonl", {"at": now_text(), "warning": w})
+            self._append("warnings", {"at": now_text(), "warning": w})
 
     def recent_outcomes(self, n: int = 10) -> list[dict]:
         """Newest first."""
-        return self._recent("outcomes.jsonl", n)
+        return self._recent("outcomes", n)
 
     def recent_warnings(self, n: int = 50) -> list[dict]:
-        return self._recent("warnings.jsonl", n)
+        return self._recent("warnings", n)
 
     # building
 
@@ -175,9 +174,11 @@ class KnowledgeGraph:
                 continue
             try:
                 total += store.add_documents(docs, p.schema(), dedup_edges=self.profile.dedup_edges)
-            except Exception as e:
+            except AnalysisException as e:  # the schema does not fit, whatever the document
                 self.warn(f"{p.name}: {e}")
                 total.failed += 1
+            except Exception:
+                total += self._one_by_one(store, docs, p)
         for p in parts:
             if isinstance(p, TableSubgraph) and p.pull_on:
                 total += self._pull(store, p)
@@ -185,11 +186,41 @@ class KnowledgeGraph:
         if total.unresolved_edges:
             result.warnings.append(f"{total.unresolved_edges} edges lack an end")
         if export_html:
-            result.html = f"{self.path}.html"
-            self.files.write(result.html, graph_html(store, self.profile.name))
+            try:
+                page = graph_html(store, self.profile.name)
+                result.html = f"{self.path}.html"
+                self.files.write(result.html, page)
+            except TooLarge as e:
+                write_graph(store, f"{self.path}.graph")
+                result.warnings.append(f"no page was written but {self.path}.graph: {e}")
         self.log_outcome(result)
         return result
 
+    def _one_by_one(self, store: GraphStore, docs: DataFrame, p: Subgraph, most: int = 100) -> IngestStatistics:
+        """Ingests documents of which some fail: parts by hash of key are halved until a failing document is alone, which
+        is left out with a warning. After ``most`` such documents whole parts are left out."""
+        total, place = IngestStatistics(), F.xxhash64("_key")
+
+        def attempt(depth: int, rest: int) -> None:
+            nonlocal total
+            part = docs.filter(F.pmod(place, F.lit(1 << depth)) == rest)
+            try:
+                total += store.add_documents(part, p.schema(), dedup_edges=self.profile.dedup_edges)
+                return
+            except Exception as e:
+                keys = [r["_key"] for r in part.select("_key").distinct().limit(2).collect()]
+                if len(keys) < 2 or depth >= 62 or total.failed >= most:
+                    n = part.count()
+                    total += IngestStatistics(documents=n, failed=n)
+                    self.warn(f"{p.name}: {', '.join(map(str, keys))}{' and more' if n > len(keys) else ''}: {str(e).splitlines()[0]}")
+                    return
+            attempt(depth + 1, rest)
+            attempt(depth + 1, rest + (1 << depth))
+
+        attempt(1, 0)
+        attempt(1, 1)
+        return total
+
     def _pull(self, store: GraphStore, p: TableSubgraph) -> IngestStatistics:
         found = parse_pull(p.pull_on, list(store.nodes))
         if found is None:

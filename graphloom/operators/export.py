@@ -30,7 +30,7 @@ def display_name(df: DataFrame, label: Column | str, columns: list[str] | None =
 
 
 def label_colour(label: str) -> str:
-    """A colour from the label's MD5, no channel darker than 100."""
+    """A colour from the label's MD5, no channel darker than 100 (a fixed value)."""
     channels = (int(hashlib.md5(label.encode()).hexdigest()[i : i + 2], 16) for i in (0, 2, 4))
     return "#" + "".join(f"{c + 100 if c < 100 else c:02x}" for c in channels)
 
@@ -82,22 +82,38 @@ def merged_links(links: DataFrame) -> DataFrame:
 
 
 def link_weight(properties: dict[str, str]) -> tuple[float, dict[str, float]]:
-    """(weight, weights by name) of a link's properties: "weight", "weights" as a JSON object, "weight_..."."""
+    """(weight, weights by name) of a link's properties: "weight", "weights" as a JSON object, "weight_...". The weight is
+    "weight", or the first of "weights"; 1 if there is neither."""
     found: dict[str, float] = {}
-    for k, v in properties.items():
+
+    def take(name: str, value: Any) -> None:
         try:
-            if k == "weights":
-                found |= {n: float(x) for n, x in json.loads(v).items()}
-            elif k == "weight" or k.startswith("weight_"):
-                found[k.removeprefix("weight_")] = float(v)
-        except (TypeError, ValueError, AttributeError):
-            continue
-    return found.get("weight", sum(found.values()) or 1.0), found
+            found[name] = float(value)
+        except (TypeError, ValueError):
+            pass
+
+    if "weight" in properties:
+        take("default", properties["weight"])
+    try:
+        several = json.loads(properties.get("weights") or "{}")
+    except ValueError:
+        several = {}
+    for k, v in several.items() if isinstance(several, dict) else ():
+        take(str(k), v)
+    first = next(iter(found.values()), 1.0)
+    for k, v in properties.items():
+        if k.startswith("weight_"):
+            take(k.removeprefix("weight_"), v)
+    return first, found
+
+
+def rows_of(df: DataFrame, limit: int | None) -> list:
+    return (df if limit is None else df.limit(limit)).collect()
 
 
-def result_entities(df: DataFrame, limit: int) -> tuple[list[dict], list[dict]]:
+def result_entities(df: DataFrame, limit: int | None = None) -> tuple[list[dict], list[dict]]:
     """Nodes and links among a result's values: structs with _id and _label are nodes, with _src and _dst links; links
-    to nodes that the result lacks go."""
+    to nodes that the result lacks go. All rows are looked at, or the first ``limit``."""
     nodes: dict[str, dict] = {}
     links: list[dict] = []
 
@@ -115,7 +131,7 @@ def result_entities(df: DataFrame, limit: int) -> tuple[list[dict], list[dict]]:
             for x in v:
                 visit(x)
 
-    for row in df.limit(limit).collect():
+    for row in rows_of(df, limit):
         visit(row.asDict(recursive=True))
     return list(nodes.values()), [x for x in links if x["source"] in nodes and x["target"] in nodes]
 
@@ -142,21 +158,45 @@ let n = 0; (function run() {{ step(Math.max(0.1, 1 - n / 200)); if (n++ < 300) r
 """
 
 
-def html_page(nodes: list[dict], links: list[dict], title: str = "Graph") -> str:
-    """A page of its own, without outside scripts, that draws nodes and links."""
+def html_page(nodes: list[dict], links: list[dict], title: str = "Graph", total: tuple[int, int] | None = None) -> str:
+    """A page of its own, without outside scripts, that draws nodes and links; total: how many there are, if more."""
+    of = [f" of {n}" if total and n > len(x) else "" for n, x in zip(total or (0, 0), (nodes, links))]
     links = [x | {"weight": link_weight(x.get("properties") or {})[0]} for x in links]
     data = json.dumps({"nodes": nodes, "links": links, "colours": {n["label"]: label_colour(n["label"]) for n in nodes}}, ensure_ascii=False).replace("</", "<\\/")
-    return PAGE.format(title=html.escape(title), counts=f"{len(nodes)} nodes, {len(links)} links", data=data)
+    return PAGE.format(title=html.escape(title), counts=f"{len(nodes)}{of[0]} nodes, {len(links)}{of[1]} links", data=data)
+
+
+class TooLarge(ValueError):
+    """More nodes or links than one document should hold."""
+
+
+def drawn(graph: Graph, labels: list[str] | None, types: list[str] | None, limit: int | None, most: int) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Nodes and links to write into one document, and how many there are in all. Without a limit these are all; a
+    graph of over ``most`` nodes or links is refused."""
+    nodes, links = graph_nodes(graph, labels), graph_links(graph, types)
+    total = nodes.count(), links.count()
+    if limit is None and max(total) > most:
+        raise TooLarge(f"the graph has {total[0]} nodes and {total[1]} links, one document holds {most}; set a limit, or write_graph writes all as files")
+    if limit is not None:
+        nodes = nodes.orderBy("id").limit(limit)
+    return nodes, graph_links(graph, types, nodes), total
+
+
+def graph_html(graph: Graph, title: str = "Graph", labels: list[str] | None = None, types: list[str] | None = None, limit: int | None = None, most: int = 200_000) -> str:
+    """The whole graph as a page, or with a limit its first nodes by id, which the page says; edges to nodes that are not
+    drawn go. See drawn for graphs that are too large."""
+    nodes, links, total = drawn(graph, labels, types, limit, most)
+    return html_page([r.asDict(recursive=True) for r in nodes.collect()], [r.asDict(recursive=True) for r in links.collect()], title, total)
 
 
-def graph_html(graph: Graph, title: str = "Graph", labels: list[str] | None = None, types: list[str] | None = None, limit: int = 500) -> str:
-    """The whole graph, or its first nodes by id, as a page; edges to nodes that are not drawn go."""
-    nodes = graph_nodes(graph, labels).orderBy("id").limit(limit)
-    links = graph_links(graph, types, nodes).limit(20 * limit)
-    return html_page([r.asDict(recursive=True) for r in nodes.collect()], [r.asDict(recursive=True) for r in links.collect()], title)
+def write_graph(graph: Graph, path: str, labels: list[str] | None = None, types: list[str] | None = None) -> None:
+    """All nodes and links as JSON lines below path, in nodes and links, written by the tasks that read them."""
+    graph_nodes(graph, labels).write.mode("overwrite").json(f"{path}/nodes")
+    graph_links(graph, types).write.mode("overwrite").json(f"{path}/links")
 
 
-def result_html(df: DataFrame, title: str = "Result", limit: int = 200) -> str:
+def result_html(df: DataFrame, title: str = "Result", limit: int | None = None) -> str:
+    """A result's nodes and links as a page: of all rows, or of the first ``limit``."""
     return html_page(*result_entities(df, limit), title)
 
 
@@ -167,12 +207,14 @@ def cytoscape_edges(graph: Graph, excluded: tuple[str, ...] = ("text_chunk",)) -
     return links.filter(kept).select(F.concat_ws("-", "source", "type", "target").alias("id"), "source", "target", F.col("type").alias("label"))
 
 
-def cytoscape_json(graph: Graph, limit: int = 1000, excluded: tuple[str, ...] = ("text_chunk",)) -> str:
-    nodes = graph_nodes(graph).filter(~F.col("label").isin(*excluded)).orderBy("id").limit(limit)
+def cytoscape_json(graph: Graph, limit: int | None = None, excluded: tuple[str, ...] = ("text_chunk",), most: int = 200_000) -> str:
+    """All nodes and edges as elements, but for excluded labels, or with a limit the first nodes by id and the edges
+    between them. See drawn for graphs that are too large."""
+    nodes, _, _ = drawn(graph, [x for x in graph.nodes if x not in excluded], None, limit, most)
     ids = nodes.select("id")
     edges = cytoscape_edges(graph, excluded).join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     elements = [{"data": {"id": r["id"], "label": r["label"], "name": r["name"], **(r["properties"] or {})}} for r in nodes.collect()]
-    elements += [{"data": {"id": r["id"], "source": r["source"], "target": r["target"], "label": r["label"]}} for r in edges.limit(20 * limit).collect()]
+    elements += [{"data": {"id": r["id"], "source": r["source"], "target": r["target"], "label": r["label"]}} for r in edges.collect()]
     return json.dumps(elements, ensure_ascii=False)
 
 

@@ -64,7 +64,8 @@ def merge_statistics(stored: DataFrame | None, new: DataFrame, key: str = "_dedu
     """created, matched, total: how many rows of new made a node and how many met one."""
     keys = new.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     if stored is None:
-        return keys.agg(F.count(F.lit(1)).alias("created"), (F.sum("n") - F.count(F.lit(1))).alias("matched"), F.sum("n").alias("total"))
+        total = F.coalesce(F.sum("n"), F.lit(0))
+        return keys.agg(F.count(F.lit(1)).alias("created"), (total - F.count(F.lit(1))).alias("matched"), total.alias("total"))
     met = keys.join(stored.select(key, F.lit(1).alias("_old")).distinct(), key, "left")
     created = F.coalesce(F.sum(F.when(F.col("_old").isNull(), 1).otherwise(0)), F.lit(0))
     return met.agg(created.alias("created"), (F.coalesce(F.sum("n"), F.lit(0)) - created).alias("matched"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))

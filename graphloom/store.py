@@ -1,15 +1,19 @@
 """A graph kept as Parquet, with its catalog as one JSON file.
 
-A table's rows lie in versioned folders; a change writes a new version and then moves the catalog's pointer, so readers
-never see half a change and no path is read and overwritten at once. Edges are appended as further folders of the same
-table. The catalog goes through the Hadoop file system, so a store can lie wherever Spark can write.
+A table's rows lie in folders of their own version; a change writes new folders and then the catalog, by a rename, so
+that readers never see half a change and no path is read and overwritten at once. The documents of one call are one
+change. What a change replaced is deleted by the next one, so that a frame made before still reads. Merged nodes are
+dealt into buckets by key, more as a table grows, and an upsert rewrites the buckets that its keys lie in. Edges are
+appended as further folders. The catalog counts its versions, and a writer that did not see the last one is refused.
+Everything goes through the Hadoop file system, so a store can lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -32,7 +36,7 @@ class Files:
     """Small files and folders in whatever store a path names."""
 
     def __init__(self, spark: SparkSession):
-        self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self.jvm, self.conf, self.gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self.jvm.org.apache.hadoop.fs.Path(path)
@@ -51,15 +55,21 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Replaces a file by way of a new one beside it."""
+        """Replaces a file by way of a new one beside it, which a rename puts in its place at once."""
         fs, p = self._at(path)
         aside = self.jvm.org.apache.hadoop.fs.Path(path + "." + uuid.uuid4().hex)
         stream = fs.create(aside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        fs.delete(p, False)
-        if not fs.rename(aside, p):
-            raise OSError(f"can't write {path}")
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), self.conf).rename(aside, p, over)
+
+    def names(self, path: str) -> list[str]:
+        """Names of what lies in a folder, ascending."""
+        fs, p = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
     def delete(self, path: str) -> bool:
         fs, p = self._at(path)
@@ -70,6 +80,14 @@ class Files:
         return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has changed the store."""
+
+
+def bucket_of(key: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
 @dataclass
 class IngestStatistics:
     documents: int = 0
@@ -87,9 +105,12 @@ class GraphStore(Graph):
     """A Graph whose tables can be made, filled and dropped."""
 
     query_language = "cypher"
+    #: Rows of a bucket of merged nodes, about.
+    BUCKET_ROWS = 1_000_000
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         super().__init__(spark)
+        self._depth, self._replaced, self._written = 0, [], []
         self.path = (path or f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}").rstrip("/")
         self.files = Files(spark)
         self.catalog: dict = {"nodes": {}, "edges": []}
@@ -102,9 +123,41 @@ class GraphStore(Graph):
         return f"{self.path}/catalog.json"
 
     def save(self) -> None:
+        """Commits the catalog, unless a batch is open, which commits at its end."""
+        if self._depth:
+            return
+        now = json.loads(self.files.read(self.catalog_path)) if self.files.exists(self.catalog_path) else {}
+        if now.get("version", 0) != self.catalog.get("version", 0):
+            raise ConcurrentChange(f"{self.path} was changed by another writer since it was read")
+        before, self.catalog["replaced"] = self.catalog.get("replaced", []), self._replaced
+        self.catalog["version"] = self.catalog.get("version", 0) + 1
         self.files.write(self.catalog_path, json.dumps(self.catalog, indent=1))
+        self._replaced, self._written = [], []
+        for p in before:
+            self.files.delete(f"{self.path}/{p}")
         self.refresh()
 
+    @contextlib.contextmanager
+    def batch(self) -> Iterator[None]:
+        """Changes made within are one change: all are kept, or after an error none."""
+        before, kept = json.dumps(self.catalog), (list(self._replaced), list(self._written))
+        self._depth += 1
+        try:
+            yield
+        except BaseException:
+            self.catalog = json.loads(before)
+            for p in self._written[len(kept[1]) :]:
+                self.files.delete(f"{self.path}/{p}")
+            self._replaced, self._written = kept
+            raise
+        finally:
+            self._depth -= 1
+        self.save()
+
+    def _replace(self, table: dict, parts: list[str]) -> None:
+        self._replaced += [p for p in table["parts"] if p not in parts]
+        table["parts"] = parts
+
     def refresh(self) -> None:
         self.nodes, self.edges = {}, []
         for label, t in self.catalog["nodes"].items():
@@ -122,8 +175,19 @@ class GraphStore(Graph):
     def _write(self, df: DataFrame, name: str) -> str:
         part = f"{name}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{part}")
+        self._written.append(part)
         return part
 
+    def _write_buckets(self, df: DataFrame, name: str, key: str, n: int, touched: int) -> list[str]:
+        """Writes rows by bucket of their key; the folders, one a bucket."""
+        if n == 1:
+            return [self._write(df, name)]
+        part = f"{name}/{uuid.uuid4().hex}"
+        dealt = df.withColumn("_bucket", bucket_of(F.col(key), n)).repartition(touched, "_bucket")
+        dealt.write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{part}")
+        self._written.append(part)
+        return [f"{part}/{x}" for x in self.files.names(f"{self.path}/{part}") if x.startswith("_bucket=")]
+
     # tables
 
     def create_schema(self, schema: GraphSchema) -> None:
@@ -176,15 +240,14 @@ class GraphStore(Graph):
         gone = [t for t in self.catalog["edges"] if t["name"] == name or (tables and name in (t["from"], t["to"]))]
         self.catalog["edges"] = [t for t in self.catalog["edges"] if t not in gone]
         for t in tables + gone:
-            for part in t["parts"]:
-                self.files.delete(f"{self.path}/{part}")
+            self._replace(t, [])
         if tables or gone:
             self.save()
         return bool(tables or gone)
 
     def delete(self) -> bool:
         """Deletes everything stored."""
-        self.catalog = {"nodes": {}, "edges": []}
+        self.catalog, self._replaced = {"nodes": {}, "edges": []}, []
         found = self.files.delete(self.path)
         self.refresh()
         return found
@@ -196,10 +259,8 @@ class GraphStore(Graph):
         """Rewrites an edge type's parts as one."""
         for t in self.catalog["edges"]:
             if t["name"] == name and len(t["parts"]) > 1:
-                old, t["parts"] = t["parts"], [self._write(self._read(t), f"edges/{name}")]
-                self.save()
-                for p in old:
-                    self.files.delete(f"{self.path}/{p}")
+                self._replace(t, [self._write(self._read(t), f"edges/{name}")])
+        self.save()
 
     # rows
 
@@ -215,6 +276,7 @@ class GraphStore(Graph):
             shaped = shaped.withColumn(table["key"], F.expr("uuid()").cast(shaped.schema[table["key"]].dataType))
         part = self._write(shaped, f"nodes/{label}")
         table["parts"].append(part)
+        table["rows"] = None
         self.save()
         stored = self.spark.read.parquet(f"{self.path}/{part}")
         return stored.withColumn(ID, F.col(table["key"]))
@@ -276,14 +338,37 @@ class GraphStore(Graph):
         table = self.catalog["nodes"][label]
         self._widen(table, T.StructType([f for f in new.schema.fields if f.name not in (AT, "_key")]))
         schema = T.StructType.fromJson(table["schema"])
-        stored = self._read(table) if table["parts"] else None
         full = new.select(AT, *[(F.col(f.name).cast(f.dataType) if f.name in new.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+        # written first: what documents give is computed once
+        aside = f"staging/{uuid.uuid4().hex}"
+        full.write.parquet(f"{self.path}/{aside}")
+        try:
+            return self._merge(label, table, schema, self.spark.read.schema(full.schema).parquet(f"{self.path}/{aside}"), key)
+        finally:
+            self.files.delete(f"{self.path}/{aside}")
+
+    def _merge(self, label: str, table: dict, schema: T.StructType, full: DataFrame, key: str) -> tuple[int, int]:
+        """Merges rows of a table's columns, and _at, into the buckets that their keys lie in."""
+        buckets = table.get("buckets", 1)
+        if buckets > 1 and table.get("bucket_key") == key and all("/_bucket=" in p for p in table["parts"]):
+            touched = {r[0] for r in full.select(bucket_of(F.col(key), buckets)).distinct().collect()}  # one row a bucket
+            old = [p for p in table["parts"] if int(p.rsplit("=", 1)[1]) in touched]
+        else:
+            touched, old = None, list(table["parts"])
+        stored = self._read(table | {"parts": old}) if old else None
         counts = merge_statistics(stored, full, key).first()
-        part = self._write(self._shaped(merge_nodes(stored, full, label, key), schema), f"nodes/{label}")
-        old, table["parts"] = table["parts"], [part]
+        merged = self._shaped(merge_nodes(stored, full, label, key), schema)
+        rows = counts["created"] + (table.get("rows") if table.get("rows") is not None else self._read(table).count())
+        if touched is None or rows > 4 * buckets * self.BUCKET_ROWS:  # all is written anew, in as many buckets as fit
+            if touched is not None and len(old) < len(table["parts"]):
+                rest = self._read(table | {"parts": [p for p in table["parts"] if p not in old]})
+                merged, old = merged.unionByName(self._shaped(rest, schema)), list(table["parts"])
+            buckets = max(1, -(-rows // self.BUCKET_ROWS))
+            touched = set(range(buckets))
+        new = self._write_buckets(merged, f"nodes/{label}", key, buckets, len(touched))
+        self._replace(table, [p for p in table["parts"] if p not in old] + new)
+        table |= {"buckets": buckets, "bucket_key": key, "rows": rows}
         self.save()
-        for p in old:
-            self.files.delete(f"{self.path}/{p}")
         return counts["created"], counts["matched"]
 
     def merge_node(self, label: str, new: DataFrame, on: str = "name") -> tuple[int, int]:
@@ -300,10 +385,8 @@ class GraphStore(Graph):
         rows = rows.join(one, rows[table["key"]] == one[ID], "left")
         kept: Column = F.col(name) if name in rows.columns else F.lit(None).cast(value)
         rows = rows.withColumn(name, F.when(F.col("_set"), F.col("_value").cast(schema[name].dataType)).otherwise(kept)).select(*schema.names)
-        old, table["parts"] = table["parts"], [self._write(rows, f"nodes/{label}")]
+        self._replace(table, [self._write(rows, f"nodes/{label}")])
         self.save()
-        for p in old:
-            self.files.delete(f"{self.path}/{p}")
 
     # documents
 
@@ -311,7 +394,11 @@ class GraphStore(Graph):
         """Extracts nodes and edges from documents (with _key, _ord and the root's fields) and merges them in.
 
         Documents whose _corrupt_record is set are counted as failed and left out; edges that lack an end are counted
-        and left out."""
+        and left out. All tables change at once, or none."""
+        with self.batch():
+            return self._add_documents(docs, schema, now, dedup_edges, source_key)
+
+    def _add_documents(self, docs: DataFrame, schema: GraphSchema, now: str | None, dedup_edges: bool, source_key: Column | None) -> IngestStatistics:
         schema_warnings(schema)
         failed = 0
         if "_corrupt_record" in docs.columns:

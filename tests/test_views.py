@@ -46,7 +46,19 @@ def test_pages(g):
     data = json.loads(only.split("const graph = ")[1].split(";\nconst svg")[0])
     assert len(data["nodes"]) == 2 and len(data["links"]) == 1
     assert export.label_colour("Person") == export.label_colour("Person") and all(int(export.label_colour(x)[i : i + 2], 16) >= 100 for x in "abc" for i in (1, 3, 5))
-    assert export.link_weight({"weight": "2"}) == (2.0, {"weight": 2.0}) and export.link_weight({"weight_a": "1", "weights": '{"b": 2}'})[0] == 3.0 and export.link_weight({"weight": "x"})[0] == 1.0
+    assert export.link_weight({"weight": "2"}) == (2.0, {"default": 2.0}) and export.link_weight({"weight_a": "1", "weights": '{"b": 2, "c": 5}'}) == (2.0, {"b": 2.0, "c": 5.0, "a": 1.0})
+    assert export.link_weight({"weight": "x"})[0] == export.link_weight({"weight_a": "7", "weights": "no"})[0] == 1.0
+
+
+def test_large_graphs_are_written_whole_or_refused(spark, g, tmp_path):
+    assert "2 of 4 nodes" in export.graph_html(g, limit=2)
+    for write in (export.graph_html, export.cytoscape_json):
+        with pytest.raises(export.TooLarge, match="4 nodes|3 nodes"):
+            write(g, most=2)
+    export.write_graph(g, f"file://{tmp_path}/g")
+    assert spark.read.json(f"file://{tmp_path}/g/nodes").count() == 4 and spark.read.json(f"file://{tmp_path}/g/links").count() == 4
+    many = spark.range(700).selectExpr("named_struct('_id', concat('P:', id), '_label', 'P', 'name', cast(id as string)) AS p")
+    assert len(export.result_entities(many)[0]) == 700 and len(export.result_entities(many, 5)[0]) == 5
 
 
 def test_cytoscape(g):

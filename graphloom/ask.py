@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from typing import Protocol
 
@@ -28,6 +29,42 @@ def prompt_for(description: str, question: str, limit: int = 30, hops: int = 4)
     return f"{description}\n{RULES.format(limit=limit, hops=hops)}\n\nQuestion: {question}\n"
 
 
+STRUCTURED = """<SYNTAX>
+{rules}
+Names of variables are short and alphanumeric. There are no procedures beside CALL show_tables() and table_info(...).
+</SYNTAX>
+<RETURN_RESULTS>
+Whole numbers stay whole numbers; types are not forced; no keyword of the query language is returned.
+</RETURN_RESULTS>
+<QUESTION>
+{question}
+</QUESTION>
+<SCHEMA>
+{description}
+</SCHEMA>
+<OUTPUT_FORMAT>
+Answer with one JSON object: {{"cypher": "the query, without line breaks"}}
+</OUTPUT_FORMAT>
+"""
+
+
+def structured_prompt(description: str, question: str, limit: int = 30, hops: int = 4) -> str:
+    """A prompt in marked sections whose answer is a JSON object with one field, cypher."""
+    return STRUCTURED.format(rules=RULES.format(limit=limit, hops=hops), question=question, description=description)
+
+
+def structured_query(text: str) -> str:
+    """The query in the answer to a structured prompt; ValueError if there is none."""
+    if m := re.search(r"\{.*\}", text, re.S):
+        try:
+            query = json.loads(m[0], strict=False).get("cypher")
+        except ValueError:
+            query = None
+        if isinstance(query, str) and query.strip():
+            return " ".join(query.split("\n")).strip().rstrip(";")
+    raise ValueError(f"no JSON object with a query in {text!r}")
+
+
 def bare_query(text: str) -> str:
     """The query in a translator's answer: what a fence holds, or else from MATCH on."""
     if m := re.search(r"```(?:\w+)?\s*(.*?)```", text, re.S):
@@ -60,17 +97,21 @@ class TemplateTranslator:
 
 
 def limited(query: str, limit: int) -> str:
-    """A query with a limit, unless its last RETURN has one."""
-    last = parse(query).parts[-1][-1]
-    return f"{query} LIMIT {limit}" if isinstance(last, Project) and last.limit is None and " union " not in query.lower() else query
+    """A query with a limit, unless its last RETURN has one; the parts of a UNION are limited together, by ask."""
+    parts = parse(query).parts
+    last = parts[-1][-1]
+    return f"{query} LIMIT {limit}" if isinstance(last, Project) and last.limit is None and len(parts) == 1 else query
 
 
-def ask(graph: Graph, question: str, translator: Translator | None = None, description: str = "", limit: int = 30) -> DataFrame:
-    """Rows that answer a question. What goes wrong is raised with the query that was tried."""
+def ask(graph: Graph, question: str, translator: Translator | None = None, description: str = "", limit: int = 30, structured: bool = False) -> DataFrame:
+    """Rows that answer a question. What goes wrong is raised with the query that was tried. structured: the translator
+    gets a structured prompt and answers with a JSON object."""
     translate = translator or TemplateTranslator(graph)
-    query = bare_query(translate(prompt_for(description, question, limit), question))
+    answer = translate((structured_prompt if structured else prompt_for)(description, question, limit), question)
+    query = structured_query(answer) if structured else bare_query(answer)
     try:
-        return graph.cypher(limited(query, limit), read_only=True)
+        found = graph.cypher(limited(query, limit), read_only=True)
+        return found.limit(limit) if len(parse(query).parts) > 1 else found
     except Exception as e:
         raise RuntimeError(f"the query failed: {e}\n{query}") from e
 

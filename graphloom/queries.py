@@ -144,29 +144,54 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT c_nationkey AS nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier",
     ),
     "var_length_1_4": (
-        "MATCH (r:Region {r_name: 'ASIA'})-[:IN_REGION|LIVES_IN|PLACED*..3]-(m) RETURN labels(m)[0] AS label, count(*) AS n",
-        """WITH n AS (SELECT n_nationkey, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')
-        SELECT * FROM (SELECT 'Nation' AS label, count(*) AS n FROM n UNION ALL SELECT 'Customer', count(*) FROM n JOIN customer ON c_nationkey = n_nationkey
-        UNION ALL SELECT 'Order', count(*) FROM n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey) WHERE n > 0""",
+        "MATCH (a)-[*1..4]->(m) RETURN labels(a)[0] AS start, labels(m)[0] AS label, count(*) AS n",
+        """SELECT 'Nation' AS start, 'Region' AS label, count(*) AS n FROM nation UNION ALL SELECT 'Customer', 'Nation', count(*) FROM customer UNION ALL SELECT 'Supplier', 'Nation', count(*) FROM supplier
+        UNION ALL SELECT 'Customer', 'Order', count(*) FROM orders UNION ALL SELECT 'Order', 'Part', count(*) FROM lineitem UNION ALL SELECT 'Supplier', 'Part', count(*) FROM lineitem
+        UNION ALL SELECT 'Customer', 'Region', count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'Supplier', 'Region', count(*) FROM supplier JOIN nation ON n_nationkey = s_nationkey
+        UNION ALL SELECT 'Customer', 'Part', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey""",
     ),
     "var_length_bounds": (
-        "MATCH (c:Customer)-[*2..2]->(m) WHERE c.c_custkey < 40 RETURN labels(m)[0] AS label, count(*) AS n",
-        """SELECT 'Region' AS label, count(*) AS n FROM customer WHERE c_custkey < 40
-        UNION ALL SELECT 'Part', count(*) FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey < 40""",
-    ),
-    "shortest_path_len": (
-        "MATCH p = shortestPath((a:Nation)-[:IN_REGION*..2]-(b:Nation)) WHERE a.n_nationkey < 5 AND a <> b RETURN a.n_name AS a, b.n_name AS b, length(p) AS hops",
-        "SELECT a.n_name AS a, b.n_name AS b, 2::INTEGER AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_nationkey < 5",
-    ),
-    "var_length_bounds_all": (
         "MATCH (c:Customer)-[*2..2]->(m) RETURN labels(m)[0] AS label, count(*) AS n",
         """SELECT 'Region' AS label, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey
         UNION ALL SELECT 'Part', count(*) FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey""",
     ),
-    "shortest_path_len_all": (
+    "var_length_undirected": (
+        "MATCH (r:Region)-[:IN_REGION|LIVES_IN|PLACED*..3]-(m) RETURN r.r_name AS region, labels(m)[0] AS label, count(*) AS n",
+        """WITH n AS (SELECT r_name AS region, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey), c AS (SELECT region, c_custkey FROM n JOIN customer ON c_nationkey = n_nationkey)
+        SELECT region, 'Nation' AS label, count(*) AS n FROM n GROUP BY region UNION ALL SELECT region, 'Customer', count(*) FROM c GROUP BY region
+        UNION ALL SELECT region, 'Order', count(*) FROM c JOIN orders ON o_custkey = c_custkey GROUP BY region""",
+    ),
+    "edge_uniqueness_var_length": (
+        "MATCH (a:Customer)-[r:PLACED]->(o:Order)<-[:PLACED*1..1]-(b:Customer) RETURN count(*) AS n",
+        "SELECT 0::BIGINT AS n",
+    ),
+    "trail_beside_edge": (
+        "MATCH (n:Nation)-[:IN_REGION]->(r:Region)<-[:IN_REGION*1..1]-(m:Nation) RETURN n.n_name AS a, m.n_name AS b",
+        "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
+    ),
+    "shortest_path_len": (
+        "MATCH p = shortestPath((a:Nation)-[*..4]-(b:Nation)) WHERE a <> b RETURN a.n_name AS a, b.n_name AS b, length(p) AS hops",
+        """WITH near AS (SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey),
+        sells AS (SELECT DISTINCT n_name, l_partkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+        far AS (SELECT DISTINCT x.n_name AS a, y.n_name AS b FROM sells x JOIN sells y ON x.l_partkey = y.l_partkey AND x.n_name <> y.n_name)
+        SELECT a, b, 2::INTEGER AS hops FROM near UNION ALL SELECT a, b, 4 FROM (SELECT * FROM far EXCEPT SELECT * FROM near)""",
+    ),
+    "shortest_path_in_region": (
         "MATCH p = shortestPath((a:Nation)-[:IN_REGION*..2]-(b:Nation)) WHERE a <> b RETURN a.n_name AS a, b.n_name AS b, length(p) AS hops",
         "SELECT a.n_name AS a, b.n_name AS b, 2::INTEGER AS hops FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey",
     ),
+    "join_delimiter": (
+        "MATCH (r:Region)<-[:IN_REGION]-(n:Nation) WITH r, collect(n.n_name) AS names RETURN r.r_name AS region, array_join(array_sort(names), '; ') AS nations",
+        "SELECT r_name AS region, string_agg(n_name, '; ' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name",
+    ),
+    "avg_distinct": (
+        "MATCH (o:Order)-[r:CONTAINS]->() RETURN o.o_orderstatus AS status, avg(DISTINCT r.linenumber) AS mean, round(stdev(DISTINCT r.linenumber), 6) AS deviation, sum(DISTINCT r.linenumber) AS total",
+        "SELECT o_orderstatus AS status, avg(DISTINCT l_linenumber) AS mean, round(stddev_samp(DISTINCT l_linenumber), 6) AS deviation, sum(DISTINCT l_linenumber)::BIGINT AS total FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1",
+    ),
+    "to_integer": (
+        "MATCH (o:Order) RETURN o.o_orderkey AS orderkey, toInteger(toString(o.o_orderkey + 9007199254740993)) AS big, toInteger(toString(o.o_totalprice)) AS whole",
+        "SELECT o_orderkey AS orderkey, o_orderkey + 9007199254740993 AS big, trunc(o_totalprice)::BIGINT AS whole FROM orders",
+    ),
     "degree_topk": (
         "MATCH (n:Part)-[r]-() RETURN n.p_partkey AS partkey, count(r) AS degree ORDER BY degree DESC, partkey LIMIT 10",
         "SELECT l_partkey AS partkey, 2 * count(*) AS degree FROM lineitem GROUP BY l_partkey ORDER BY degree DESC, partkey LIMIT 10",
@@ -212,10 +237,6 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT 0::BIGINT AS n",
     ),
     "order_multi_key": (
-        "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN n.n_name AS nation, s.s_name AS supplier ORDER BY n.n_name, s.s_acctbal DESC, s.s_name LIMIT 20",
-        "SELECT n_name AS nation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY n_name, s_acctbal DESC, s_name LIMIT 20",
-    ),
-    "order_multi_key_all": (
         "MATCH (s:Supplier)-[:BASED_IN]->(n:Nation) RETURN n.n_name AS nation, s.s_name AS supplier ORDER BY n.n_name, s.s_acctbal DESC, s.s_name",
         "SELECT n_name AS nation, s_name AS supplier FROM supplier JOIN nation ON s_nationkey = n_nationkey ORDER BY n_name, s_acctbal DESC, s_name",
     ),

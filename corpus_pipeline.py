@@ -8,6 +8,10 @@ one's docs. All but the last return the columns of documents:
 3. secrets: secrets in texts are replaced by their kind.
 4. mix: documents are repeated or left out so that sources come near their targets.
 5. pack: pieces of documents and their places in sequences.
+
+Null and letterless texts go in the first stage; of rows repeated whole one is left by the second; an empty table, or
+one in which nothing is left, gives an empty table of the last stage's columns. Columns beside doc_id, text, lang and
+source are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import langid, mixing, packing, secret_scan, simhash
-from graphloom.llm.common import shared_path
-from graphloom.session import make_importable
+from graphloom.llm.common import scratch, shared_path
+from graphloom.session import delete_path, make_importable
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +57,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents in sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        with scratch(spark):  # what a stage writes for itself goes when its rows are written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs

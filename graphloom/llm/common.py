@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import re
@@ -12,15 +13,36 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import make_importable, shared_dir
+from ..session import delete_path, make_importable, run_folder
+
+_folders: list[str] = []  # of the scratch contexts that are open, innermost last
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder: within the innermost open scratch folder, else in this run's own folder, which
+    the driver's end deletes."""
+    if not _folders:
+        base = run_folder(spark)
+    else:
+        base = _folders[-1]
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for tables that are read no more when the context ends; it is deleted then."""
+    path = f"{run_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    _folders.append(path)
+    try:
+        yield path
+    finally:
+        _folders.remove(path)
+        delete_path(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -66,6 +88,21 @@ def spread(*cols: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
+def text_slices(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of an Arrow column, about `most` bytes at once: only one such part is ever held as Python
+    objects, so that working memory does not follow the batch size."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = before = 0
+    while start < len(texts):
+        to = min(int(np.searchsorted(ends, before + most)) + 1, len(texts))
+        yield start, texts.slice(start, to - start).to_pylist()
+        start, before = to, int(ends[to - 1])
+
+
+def each_text(texts: pa.Array) -> Iterator[str | None]:
+    return (t for _, part in text_slices(texts) for t in part)
+
+
 def slices(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about `most` characters each, so that working memory does not follow the batch size."""
     start = size = 0
@@ -78,6 +115,17 @@ def slices(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def least_hashes(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
+    """At most ``most`` of n rows, those with the smallest hashes in column h (a 64-bit one), ties by the other columns.
+
+    A bound on the hash lets about that many rows through, and a little more, wherever they lie, so that the sort gets
+    as many rows whatever the table's size."""
+    share = (most + 6 * most**0.5 + 20) / max(1, n)
+    if share < 1:
+        rows = rows.filter(F.col(h) < -(1 << 63) + int(share * (1 << 64)))
+    return rows.orderBy(h, *[c for c in rows.columns if c != h]).limit(most)
+
+
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -106,7 +154,7 @@ class CachedEncoder:
 
     _MARK = "\u25a0"  # no Latin-1 character
 
-    def __init__(self, path: str, leading_space: bool, capacity: int = 400_000):
+    def __init__(self, path: str, leading_space: bool, capacity: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -153,12 +201,12 @@ class CachedEncoder:
                 return False
         return True
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null is taken as empty."""
-        for a, b in slices(texts):
+        for _, some in text_slices(texts):
             if len(self.known) > self.capacity:  # pieces still in use come back from the older ones
                 self.known, self.older = {}, self.known
-            part = [t or "" for t in texts[a:b]]
+            part = [t or "" for t in some]
             if not self.leading_space and self._plain("\n".join(part)):
                 yield from self._together(part)
                 continue

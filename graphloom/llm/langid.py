@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, quoted, slices, unused
+from .common import each_text, map_rows, quoted, text_slices, unused
 
 UNKNOWN = "und"
 BLANK = 32
@@ -79,15 +79,14 @@ def train(docs: DataFrame, held: Column, length: int = 400) -> Profiles:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for a, b in slices(texts):
+            for at, texts in text_slices(batch.column("text")):
                 by: dict[str, list[str]] = {}
-                for lang, text in zip(langs[a:b], texts[a:b]):
+                for lang, text in zip(batch.column("lang").slice(at, len(texts)).to_pylist(), texts):
                     by.setdefault(lang, []).append(text)
                 for lang, some in by.items():
                     parts = [gram_counts(letter_codes(" ".join(some)))] + ([totals[lang]] if lang in totals else [])
                     totals[lang] = count_keys(*(np.concatenate(x) for x in zip(*parts)))
-                if sum(len(k) for k, _ in totals.values()) > 2_000_000:
+                if sum(len(k) for k, _ in totals.values()) > 500_000:
                     yield from out(totals)
                     totals.clear()
         yield from out(totals)
@@ -141,8 +140,7 @@ def judge_rows(docs: DataFrame, profiles: Profiles, length: int = 400, names: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value, length)
         for batch in batches:
-            texts = batch.column(place)
-            found = [judge(t) for t in texts.to_pylist()]
+            found = [judge(t) for t in each_text(batch.column(place))]
             langs, scores = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[f"c{i}" for i in range(batch.num_columns + 2)])
 
@@ -169,6 +167,10 @@ def identify_languages(docs: DataFrame, length: int = 400) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.32, length: int = 400) -> DataFrame:
     """docs, all columns, without the rows that are ``und`` or as far from every language as texts in none are.
 
+    docs needs doc_id, text and lang, and learns from its own rows as identify_languages does. Null texts and those
+    without a letter go; repeated rows stay or go together; an empty table, or one with nothing to learn from, gives no
+    rows.
+
     On the sf0.1 documents whole texts score 0.43 or more and one to three of their words 0.33 or more; random letters
     score up to 0.28 from fifteen words on, but single short words of them cannot be told from a language's. An
     unlearned language near a learned one can stay."""

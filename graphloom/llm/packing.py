@@ -10,6 +10,8 @@ Documents are cut into pieces of at most ``capacity`` tokens; how many pieces th
 2. ``round_configurations``: whole sequences of these configurations, heaviest first, as long as there are pieces.
    What is left is solved and rounded again while that settles enough of it.
 3. ``best_fit``: the rest, longest first, into the fullest sequence with room, by counts and not piece by piece.
+4. ``repair``: while there are more sequences than the program's dual allows, the least filled ones, ever more of them,
+   are taken apart and fitted anew, and the new ones kept if they are fewer.
 
 The plan is a list of (lengths, number of sequences). Each length's pieces are then numbered, in parallel, and a piece's
 number says which sequence and which place in it is its own.
@@ -18,6 +20,7 @@ number says which sequence and which place in it is its own.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -155,6 +158,46 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return full + [(tuple(c), n) for entries in open_by_room.values() for c, n in entries]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: the value of two solutions of the configuration program's dual, whose prices
+    let no configuration cost over one. One prices by length; the other, besides, takes lengths over half a sequence as
+    half and a little more, of which two never meet."""
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    need = np.array([counts[int(x)] for x in lengths], dtype=float)
+    bounds = [0.0]
+    for values in (lengths / capacity, np.where(2 * lengths > capacity, 0.5, lengths / capacity / 2) + lengths / capacity / 2):
+        most = price_knapsack(lengths, values, capacity)[0][capacity] if len(lengths) else 1.0
+        bounds.append(float((need * values).sum() / max(most, 1e-12)))
+    return math.ceil(max(bounds) - 1e-6)
+
+
+def repair(plan: Plan, capacity: int, bound: int) -> Plan:
+    """plan, or one of fewer sequences. Takes apart the least filled sequences, twice as many each time up to all, until
+    there are no more than bound."""
+    plan = sorted(plan, key=lambda p: (sum(p[0]), p[0]))
+    total = sum(n for _, n in plan)
+    take = 4
+    while total > bound:
+        apart: Counter[int] = Counter()
+        kept: Plan = []
+        room = take
+        for config, n in plan:
+            k = min(n, room)
+            room -= k
+            for size in config:
+                apart[size] += k
+            if n > k:
+                kept.append((config, n - k))
+        fitted = best_fit(dict(apart), capacity)
+        if sum(n for _, n in fitted) < min(take, total):
+            plan = sorted(kept + fitted, key=lambda p: (sum(p[0]), p[0]))
+            total = sum(n for _, n in plan)
+        elif take >= total:
+            break
+        take *= 2
+    return plan
+
+
 def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     """Configurations and how many sequences of each hold exactly counts (length: pieces, lengths 1 to capacity)."""
     left = {x: n for x, n in counts.items() if n > 0 and x < capacity}
@@ -168,7 +211,7 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
         plan += got
         if sum(len(c) * n for c, n in got) < 0.05 * pieces:
             break
-    return plan + best_fit(left, capacity)
+    return repair(plan + best_fit(left, capacity), capacity, lower_bound({x: n for x, n in counts.items() if n > 0}, capacity))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, leading_space: bool, end_id: int, capacity: int) -> DataFrame:
@@ -180,7 +223,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, leading_space: bool, end_
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
                 ids += end
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import each_text, map_rows, text_slices
 
 #: Patterns of each kind, and the least length of group 2, of the match or of the run.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,8 +101,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            found = [find_secrets(t) for a, b in slices(texts.to_pylist()) for t in texts[a:b].to_pylist()]
+            found = [find_secrets(t) for t in each_text(batch.column("text"))]
             base = [[s for s in spans if s[0] in BASE_KINDS] for spans in found]
             counts = {f"n_{k}": pa.array([sum(s[0] == k for s in spans) for spans in base], pa.int64()) for k in BASE_KINDS}
             yield pa.RecordBatch.from_pydict({
@@ -126,14 +125,16 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs, all rows and columns, with secrets in text replaced; n_chars, if there and not null, follows the text."""
+    """docs, all rows and columns, with secrets in text replaced; n_chars, if there and not null, follows the text.
+
+    docs needs text. Null and empty texts stay as they are; repeated rows are changed alike; an empty table gives no rows."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            clean = [t if t is None or not (s := find_secrets(t)) else redact(t, s) for t in texts]
-            yield batch.set_column(place, batch.schema.field(place), pa.array(clean, batch.schema.field(place).type))
+            for at, texts in text_slices(batch.column(place)):
+                clean = [t if t is None or not (s := find_secrets(t)) else redact(t, s) for t in texts]
+                yield batch.slice(at, len(texts)).set_column(place, batch.schema.field(place), pa.array(clean, batch.schema.field(place).type))
 
     out = map_rows(docs, run)
     return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out

@@ -135,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, leading_s
         partition, sequence = TaskContext.get().partitionId(), 0
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids = encode.encode(batch.column("text").to_pylist())
+            ids = encode.encode(batch.column("text"))
             for doc_id, one in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 builder.add(doc_id, np.frombuffer(one + end, dtype="<u4"))
                 if builder.size >= shard_bytes:

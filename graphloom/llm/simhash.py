@@ -14,6 +14,7 @@ minima; nothing is collected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -22,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, slices, unused, written
+from .common import each_text, quoted, unused, written
 
 BITS = 64
+#: What moving a fingerprint to one more anchor costs, in comparisons of two fingerprints.
+MOVE = 1000
 #: The positions of the Hamming (7, 4) code's checks; a word belongs to the code if each has even parity.
 HAMMING_CHECKS = (0b1010101, 0b1100110, 0b1111000)
 
@@ -49,8 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            fps = [fingerprint(t, shingle, seed) for a, b in slices(texts.to_pylist()) for t in texts[a:b].to_pylist()]
+            fps = [fingerprint(t, shingle, seed) for t in each_text(batch.column("text"))]
             signed = np.array(fps, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(signed)], names=["doc_id", "text_hash", "fp"])
 
@@ -118,7 +120,7 @@ def forest(nodes: np.ndarray, lives: np.ndarray, visits: np.ndarray, distance: i
     visits (unsigned) connect it with."""
     parent = np.arange(len(nodes))
     li, vi = np.searchsorted(nodes, lives.view(np.int64)), np.searchsorted(nodes, visits.view(np.int64))
-    step = max(1, 4_000_000 // max(1, len(visits)))
+    step = max(1, 1_000_000 // max(1, len(visits)))
     for a in range(0, len(lives), step):
         i, j = np.nonzero(np.bitwise_count(lives[a : a + step, None] ^ visits[None, :]) <= distance)
         x, y = li[a + i], vi[j]
@@ -228,20 +230,41 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def components_of(prints: DataFrame, distance: int = 4, blocks: int = 3) -> DataFrame:
-    """(fp, label) of every distinct fingerprint of prints; linked fingerprints share their label."""
+def cheapest_blocks(n: int, distance: int = 4, most: int = 4) -> int:
+    """The number of blocks whose anchors cost least for n fingerprints that spread evenly: a fingerprint moved to an
+    anchor counts as much as MOVE comparisons. Fewer blocks have more anchors, which hold less and are visited more."""
+    costs = {}
+    for blocks in range(1, most + 1):
+        visits, compared = 0.0, 0.0
+        for parts in block_parts(blocks):
+            # visits of one fingerprint: code words by excess, part by part
+            by_excess = np.eye(1, distance // blocks + 1)[0]
+            for _, width in parts:
+                near = part_table(width)[1]
+                share = np.bincount([min(e, distance + 1) for some in near for _, e in some], minlength=distance + 2) / len(near)
+                by_excess = np.convolve(by_excess, share)[: distance // blocks + 1]
+            visits += by_excess.sum()
+            compared += by_excess.sum() * n / math.prod(16 if width == 7 else 2 for _, width in parts)
+        costs[blocks] = n * (MOVE * visits + compared)
+    return min(costs, key=costs.get)
+
+
+def components_of(prints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """(fp, label) of every distinct fingerprint of prints; linked fingerprints share their label. blocks: how many
+    blocks of bits have anchors of their own; by default what costs least for the number of fingerprints there are. The
+    links, and so the labels' groups, are the same for any number."""
     distinct = written(prints.select("fp").distinct(), "fps")
+    blocks = blocks or cheapest_blocks(max(1, distinct.count()), distance)
     labels = connected_components(links(distinct, distance, blocks))
     return distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, blocks: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id, the smallest doc_id that links reach.
 
     docs needs doc_id and text; other columns are ignored. A null or wordless text has fingerprint zero and is linked
     like any other; rows of one doc_id, or without one, are separate documents; a component without any doc_id has a
-    null component_id; an empty table gives no rows. blocks: 3 suits up to some ten million distinct fingerprints; 2
-    (anchors over 32 bits) replicates nine times as much and compares thirty times less."""
+    null component_id; an empty table gives no rows. blocks: as for components_of."""
     prints = written(fingerprints(docs, shingle, seed), "prints")
     comps = components_of(prints, distance, blocks)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -251,8 +274,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     return prints.join(per_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, blocks: int = 3) -> DataFrame:
-    """docs with one row of each component: the smallest doc_id's (rows without one last), of these the smallest text hash's."""
+def drop_near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, blocks: int | None = None) -> DataFrame:
+    """docs with one row of each component: the smallest doc_id's (rows without one last), of these the smallest text hash's.
+
+    docs needs doc_id and text and keeps all its columns, whatever their names. Null and wordless texts have fingerprint
+    zero, so that one of them stays; of rows that are repeated whole one stays; an empty table gives no rows."""
     prints = written(fingerprints(docs, shingle, seed), "prints")
     comps = components_of(prints, distance, blocks)
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))

@@ -103,18 +103,6 @@ def each_text(texts: pa.Array) -> Iterator[str | None]:
     return (t for _, part in text_slices(texts) for t in part)
 
 
-def slices(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `most` characters each, so that working memory does not follow the batch size."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def least_hashes(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
     """At most ``most`` of n rows, those with the smallest hashes in column h (a 64-bit one), ties by the other columns.
 

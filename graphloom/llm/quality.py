@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each_text, least_hashes
+
 SYMBOLS = b"#*$%&|<>"  # fixed values: the characters that count as symbols
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BITS = 18
@@ -112,12 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     y = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("_y"))
     y = y.filter("y = _y").select("doc_id", "y").withColumn("h", F.xxhash64("doc_id"))
     n = {r["y"]: r["n"] for r in y.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    # the smallest hashes of each class, by a bounded sort of each
-    chosen = y.filter("y = 0").orderBy("h", "doc_id").limit(most).unionByName(y.filter("y = 1").orderBy("h", "doc_id").limit(most))
+    # the smallest hashes of each class
+    chosen = least_hashes(y.filter("y = 0"), "h", n.get(0, 0), most).unionByName(least_hashes(y.filter("y = 1"), "h", n.get(1, 0), most))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
+            rows = [features(t) for t in each_text(batch.column("text"))]
             yield pa.RecordBatch.from_pydict({
                 "h": batch.column("h"), "y": batch.column("y"),
                 "k": pa.array([k.astype(np.int32).tobytes() for k, _ in rows], pa.binary()),
@@ -199,8 +201,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, le
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column("text")
-            rows = [score(t) for t in texts.to_pylist()]
+            rows = [score(t) for t in each_text(batch.column("text"))]
             n_words, chars, symbols, lines, repeated, p = (np.array(x) for x in zip(*rows)) if rows else [np.zeros(0, dtype=np.int64)] * 5 + [np.zeros(0)]
             failed = (n_words < least_words) | (100 * repeated > most_repeated * n_words)
             yield pa.RecordBatch.from_pydict({

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions
+from .common import least_hashes, n_partitions
 
 
 @dataclass(frozen=True)
@@ -109,10 +109,10 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = RULES, de
         rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("key", key_of(F.col("host"))).withColumn("tie", F.xxhash64("page_id", "path"))
+    # where a row was read is part of its tie, so that rows repeated whole lie in many ranges too
+    rows = rows.withColumn("key", key_of(F.col("host"))).withColumn("tie", F.xxhash64("page_id", "path", F.spark_partition_id()))
     ranges = 4 * n_partitions(spark)
-    # the keys with the smallest hashes: the same cuts whenever a task is run again
-    drawn = rows.select("key", "tie").orderBy(F.xxhash64("key", "tie"), "key", "tie").limit(sample).collect()
+    drawn = least_hashes(rows.select("key", "tie", F.xxhash64("key", "tie").alias("h")), "h", pages.count(), sample).collect()
     keys = sorted((r["key"].encode(), r["tie"]) for r in drawn)
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     cut_keys = [k for k, _ in cuts]

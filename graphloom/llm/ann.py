@@ -5,17 +5,22 @@ part is kept exactly; the vector is quantised, two components to a subspace with
 centres minimise a loss that weighs the part of the residual parallel to the vector ``parallel`` times as much as the
 rest, since that part is what moves the largest inner products. Two codes share a byte; a query becomes one table of
 256 sums per byte, and a scan adds a table entry per byte of code. How far each vector lies from its code is kept too:
-by the triangle inequality a row's distance is at least its code's less that gap. The best codes of a batch are ranked
-by their exact distance in double precision, and so is every other row whose bound does not exceed the tenth distance
-known by then; no number limits how many these are, so dense groups, whose codes are nearly equal, lose nothing.
+by the triangle inequality a row's distance is at least its code's less that gap. The best codes are ranked by their
+exact distance in double precision, and so is every other row whose bound does not exceed the tenth distance known by
+then; no number limits how many these are, so dense groups, whose codes are nearly equal, lose nothing.
 
-Centres are fitted on a bounded sample; every vector is indexed. Queries are taken in blocks of bounded size, each
-sent to the tasks that scan the index.
+Rows are dealt out by coarse cell, and a cell in parts of bounded size. A query goes to the cells that can hold one of
+its nearest: a cell's rows lie at least the distance to its centre less its radius away, and the sample's k nearest
+rows bound how far they need to be looked for. With ``recall`` it goes only to so many of the nearest cells as brought
+that share of nearest rows within the sample. A task holds one part's rows and reads queries past them, however many.
+
+Centres of codes and cells are fitted on a bounded sample; every vector is indexed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,10 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import least_hashes, record_batch, written
 
 CENTRES = 16
-BATCH = 10_000
 
 
 @dataclass
@@ -138,100 +142,238 @@ def best_of(ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], values[some]))[:k]]
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, rerank: int = 160, sample: int = 20_000, block: int = 8192) -> DataFrame:
+def fit_cells(x: np.ndarray, cells: int, rounds: int = 8, seed: int = 4) -> np.ndarray:
+    """Centres of cells by k-means on x."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), cells, replace=False)]
+    for _ in range(rounds if cells > 1 else 1):
+        at = nearest_centre(x, centres)
+        n = np.bincount(at, minlength=cells)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = 0.5 * (centres**2).sum(1)
+    return np.concatenate([np.argmin(half - x[a : a + 4096] @ centres.T, axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+@dataclass
+class Router:
+    """Says which cells can hold a query's k nearest rows. centres, radius and size are the cells'; x, half (half the
+    squares of its lengths) and ids the sample's, cell the cells it lies in; probes: how many of the nearest cells a query
+    may go to."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    size: np.ndarray
+    x: np.ndarray
+    half: np.ndarray
+    ids: np.ndarray
+    cell: np.ndarray
+    probes: int
+    k: int
+
+    def __call__(self, own: int, q: np.ndarray) -> tuple[np.ndarray, float]:
+        """(cells, a distance that the k-th nearest row in these does not exceed)."""
+        to = np.sqrt(((self.centres - q) ** 2).sum(1))
+        order = np.argsort(to, kind="stable")
+        # so many cells that k other rows are to be found, with room for rows of the query's own
+        enough = int(np.searchsorted(np.cumsum(self.size[order]), 4 * self.k)) + 1
+        near = order[: max(self.probes, enough)]
+        rough = self.half - self.x @ q
+        rough[self.ids == own] = np.inf
+        if len(near) < len(order):
+            chosen = np.zeros(len(order), dtype=bool)
+            chosen[near] = True
+            rough[~chosen[self.cell]] = np.inf
+        bound = np.inf
+        if len(rough) >= self.k:
+            some = np.argpartition(rough, self.k - 1)[: self.k]
+            if np.isfinite(rough[some]).all():
+                bound = float(np.sqrt(((self.x[some] - q) ** 2).sum(1)).max())
+        return near[~(to[near] - self.radius[near] > bound * (1 + 1e-9) + 1e-9 * (1 + to[near]))], bound
+
+
+def probes_for(recall: float, x: np.ndarray, cell: np.ndarray, centres: np.ndarray, k: int, queries: int = 256) -> int:
+    """How many of the nearest cells hold the share ``recall`` of the k nearest rows, within the sample x."""
+    ranks = []
+    half = 0.5 * (x**2).sum(1)
+    for i in range(min(queries, len(x))):
+        rough = half - x @ x[i]
+        rough[i] = np.inf
+        order = np.argsort(np.sqrt(((centres - x[i]) ** 2).sum(1)), kind="stable")
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        ranks.append(place[cell[np.argpartition(rough, min(k, len(x)) - 1)[:k]]])
+    return int(np.sort(np.concatenate(ranks))[min(len(ranks) * k, max(1, math.ceil(recall * len(ranks) * k))) - 1]) + 1 if ranks and len(x) > k else len(centres)
+
+
+class Part:
+    """Rows of one part of a cell. Equal vectors are scanned once; of their rows those stay that can be among the k
+    nearest of a query, whichever row is its own: k of each vec_id, 2 * k in all, the smallest."""
+
+    def __init__(self, book: Codebook, k: int, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, code_norm: np.ndarray, gap: np.ndarray):
+        self.book, self.k = book, k
+        rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel()
+        _, first, number = np.unique(rows, return_index=True, return_inverse=True)
+        order = np.lexsort((ids, number))
+        number, ids = number[order], ids[order]
+        number, ids = (v[rank_within(number, ids) < k] for v in (number, ids))
+        kept = rank_within(number) < 2 * k
+        self.number, self.ids = number[kept], ids[kept]
+        self.begin = np.searchsorted(self.number, np.arange(len(first) + 1))
+        self.x, self.half, self.gap = x[first], 0.5 * code_norm[first], gap[first] * (1 + 1e-9)
+        self.codes = np.ascontiguousarray(codes[first].T)
+        self.norm, self.size = (self.x**2).sum(1), np.sqrt(2 * self.half)
+        self.single, self.double = ((book.dim + 16) * np.finfo(t).eps for t in (np.float32, np.float64))
+
+    def best(self, own: int, q: np.ndarray, known: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of what is known and the rows of vectors at, but for own ones: vec_ids and distances."""
+        if not len(at):
+            return known
+        exact = np.sqrt(((self.x[at] - q) ** 2).sum(1))
+        times = self.begin[at + 1] - self.begin[at]
+        rows = np.repeat(self.begin[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        near, score = self.ids[rows], np.repeat(exact, times)
+        other = near != own
+        near, score = np.concatenate([known[0], near[other]]), np.concatenate([known[1], score[other]])
+        best = best_of(near, score, self.k)
+        return near[best], score[best]
+
+    def search(self, own: int, q: np.ndarray, table: np.ndarray, limit: float, rerank: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest rows, of those no farther than limit at least: vec_ids and exact distances."""
+        inner = np.zeros(len(self.half), dtype=np.float32)
+        for sums, code in zip(table, self.codes):
+            inner += sums[code]
+        far = self.half - inner
+        first = np.argpartition(far, rerank)[:rerank] if len(far) > rerank else np.arange(len(far))
+        known = self.best(own, q, (np.zeros(0, dtype=np.int64), np.zeros(0)), first)
+        # half the square that a row's code may lie away from the query, and what single precision may add
+        square = q @ q
+        edge = min(limit * (1 + 1e-9), known[1][-1] if len(known[1]) == self.k else np.inf)
+        bound = 0.5 * (edge + self.gap) ** 2 - 0.5 * square + self.single * (np.sqrt(square) + self.size) ** 2
+        open_ = ~((far > bound) & np.isfinite(far))
+        open_[first] = False
+        at = np.flatnonzero(open_)
+        if len(at) > 4 * rerank:  # so many that one product sorts most out
+            slack = self.double * (np.sqrt(square) + np.sqrt(self.norm[at])) ** 2
+            at = at[~((0.5 * self.norm[at] - self.x[at] @ q) > (0.5 * edge**2 - 0.5 * square + slack))]
+        return self.best(own, q, known, at)
+
+
+def rank_within(*keys: np.ndarray) -> np.ndarray:
+    """Place of each element among those with equal keys, which lie together."""
+    n = len(keys[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return np.arange(n) - np.repeat(starts, np.diff(np.concatenate([starts, [n]])))
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float | None = None, rerank: int = 160, sample: int = 20_000, cell_rows: int = 8192, part_bytes: int = 16_000_000) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that is_query holds for, its k nearest other rows by
     Euclidean distance, nearest first, ties to the smaller vec_id. Score is the exact distance in double precision.
+    Without recall no row is missed; with it queries go to fewer cells (see above).
 
     vectors needs vec_id and embedding; other columns are ignored. Vectors that are null, zero or hold null or non-finite
     components take no part, nor do rows without vec_id or of a length other than the most frequent one. Rows of one
     vec_id are candidates each; as a query it counts once, with the smallest of its vectors, and none of its rows is its
-    candidate. An empty table gives no rows. rerank: how many of a batch are ranked exactly for each query before bounds
-    tell which others are. Centres are fitted on ``sample`` vectors at most, those with the smallest hash; at most ``block`` queries are sent out at once."""
+    candidate. An empty table gives no rows. rerank: how many of a part are ranked exactly for each query before bounds
+    tell which others are. Centres are fitted on ``sample`` vectors at most, those with the smallest hash; there is a cell
+    for every cell_rows rows, up to 1024 and a sixteenth of the sample."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v")))
     kinds = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not kinds:
-        return spark.createDataFrame([], schema)
-    dim = kinds[0]["d"]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim, n = kinds[0]["d"], kinds[0]["count"]
     rows = rows.filter(F.size("v") == dim)
-    drawn = rows.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(sample).collect()
-    book = fit(np.array([r["v"] for r in drawn], dtype=np.float32))
+    drawn = least_hashes(rows.select("vec_id", "v", F.xxhash64("vec_id", "v").alias("h")), "h", n, min(sample, max(1000, 64_000_000 // (8 * dim)))).collect()
+    x = np.array([r["v"] for r in drawn], dtype=np.float64)
+    book = fit(x.astype(np.float32))
+    centres = fit_cells(x, max(1, min(1024, -(-n // cell_rows), len(x) // 16)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("v"), dim)
-            codes = book.encode(x.astype(np.float32))
+        for batch in (b.slice(a, 4096) for b in batches for a in range(0, b.num_rows, 4096)):
+            v = matrix(batch.column("v"), dim)
+            codes, cell = book.encode(v.astype(np.float32)), nearest_centre(v, centres)
             stand = book.decode(codes)
-            more = [pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array((stand**2).sum(1)), pa.array(np.sqrt(((x - stand) ** 2).sum(1)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "code", "code_norm", "gap"])
+            length = lambda d: pa.array(np.sqrt((d**2).sum(1)))
+            more = [pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array((stand**2).sum(1)), length(v - stand), pa.array(cell, pa.int32()), length(v - centres[cell])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "code", "code_norm", "gap", "cell", "far"])
+
+    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, q boolean, code binary, code_norm double, gap double, cell int, far double"), "index")
+    radius, size = np.zeros(len(centres)), np.zeros(len(centres), dtype=np.int64)
+    for r in indexed.groupBy("cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # one row per cell
+        radius[r["cell"]], size[r["cell"]] = r["far"], r["n"]
+    cell = nearest_centre(x, centres)
+    probes = len(centres) if recall is None else probes_for(recall, x, cell, centres, k)
+    router = spark.sparkContext.broadcast(Router(centres, radius, size, x, 0.5 * (x**2).sum(1), np.array([r["vec_id"] for r in drawn], dtype=np.int64), cell, probes, k))  # bounded: the sample
+    parts = np.maximum(1, -(-size // max(1024, part_bytes // (8 * dim))))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("cell", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("v", pa.list_(pa.float64())), ("gap", pa.float64())])
+        for batch in batches:
+            v = matrix(batch.column("v"), dim)
+            for i, own in enumerate(batch.column("vec_id").to_pylist()):
+                cells, bound = router.value(own, v[i])
+                out = [(c, p) for c in cells.tolist() for p in range(parts[c])]
+                yield record_batch(schema, [*zip(*out), [own] * len(out), [v[i]] * len(out), [bound] * len(out)] if out else [()] * 5)
 
-    indexed = written(rows.mapInArrow(index, "vec_id long, v array<double>, q boolean, code binary, code_norm double, gap double"), "index")
     queries = indexed.filter("q").groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if some:
-            one = written(scan(indexed, book, dim, some, k, rerank), "found")
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    asked = queries.mapInArrow(route, "cell int, part int, id long, v array<double>, gap double").withColumn("side", F.lit(1))
+    number = spark.createDataFrame([(i, int(p)) for i, p in enumerate(parts)], "cell int, parts int")
+    spread = F.pmod(F.xxhash64("vec_id", "v", F.spark_partition_id()), F.col("parts")).cast("int")
+    held = indexed.join(number, "cell").select("cell", spread.alias("part"), F.col("vec_id").alias("id"), "v", "gap", "code", "code_norm", F.lit(0).alias("side"))
+    dealt = held.unionByName(asked, allowMissingColumns=True).repartition("cell", "part").sortWithinPartitions("cell", "part", "side")
+    found = dealt.select("cell", "part", "side", "id", "v", "gap", "code", "code_norm").mapInArrow(searcher(book, dim, k, rerank), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def scan(indexed: DataFrame, book: Codebook, dim: int, queries: list, k: int, rerank: int) -> DataFrame:
-    """query_id, vec_id, score: from every task its k nearest rows to each query."""
-    spark = indexed.sparkSession
-    wanted = np.array([r["vec_id"] for r in queries], dtype=np.int64)
-    order = np.argsort(wanted)
-    vectors = np.array([r["v"] for r in queries], dtype=np.float64)[order]
-    wanted = wanted[order]
-    sent = spark.sparkContext.broadcast((wanted, vectors))  # bounded: about block queries
+def searcher(book: Codebook, dim: int, k: int, rerank: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches sorted by cell, part and side: gathers a part's rows (side 0) and searches them for each of its
+    queries (side 1, gap: a distance to look no farther than): query_id, vec_id, score, the k nearest of the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(ids)
-        single, double = ((dim + 16) * np.finfo(t).eps for t in (np.float32, np.float64))
-
-        def keep(i: int, x: np.ndarray, vec_id: np.ndarray, at: np.ndarray) -> None:
-            if len(at):
-                exact = np.sqrt(((x[at] - q[i]) ** 2).sum(1))
-                near, score = np.concatenate([kept[i][0], vec_id[at]]), np.concatenate([kept[i][1], exact])
-                best = best_of(near, score, k)
-                kept[i] = near[best], score[best]
-
-        for batch in (b.slice(a, BATCH) for b in batches for a in range(0, b.num_rows, BATCH)):
-            vec_id, x = batch.column("vec_id").to_numpy(), matrix(batch.column("v"), dim)
-            codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(len(vec_id), -1).T.copy()
-            half, gap = 0.5 * batch.column("code_norm").to_numpy(), batch.column("gap").to_numpy() * (1 + 1e-9)
-            norm, size = (x**2).sum(1), np.sqrt(2 * half)
-            for a in range(0, len(ids), 256):
-                for i, table in enumerate(book.tables(q[a : a + 256].astype(np.float32)), a):
-                    inner = np.zeros(len(vec_id), dtype=np.float32)
-                    for sums, code in zip(table, codes):
-                        inner += sums[code]
-                    far = half - inner
-                    others = vec_id != ids[i]
-                    first = np.argpartition(np.where(others, far, np.inf), rerank)[:rerank] if len(far) > rerank else np.arange(len(far))
-                    keep(i, x, vec_id, first[others[first]])
-                    # half the square that a row's code may lie away from the query, and what single precision may add
-                    square = q[i] @ q[i]
-                    edge = kept[i][1][-1] if len(kept[i][1]) == k else np.inf
-                    bound = 0.5 * (edge + gap) ** 2 - 0.5 * square + single * (np.sqrt(square) + size) ** 2
-                    others[first] = False
-                    at = np.flatnonzero(others & ~((far > bound) & np.isfinite(far)))
-                    if len(at) > 4 * rerank:  # so many that one product sorts most out
-                        slack = double * (np.sqrt(square) + np.sqrt(norm)) ** 2
-                        others[at] = ~((0.5 * norm - x @ q[i])[at] > (0.5 * edge**2 - 0.5 * square + slack)[at])
-                        at = at[others[at]]
-                    keep(i, x, vec_id, at)
-        sizes = [len(n) for n, _ in kept]
-        if sum(sizes):
-            near, score = (np.concatenate(x) for x in zip(*kept))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    return indexed.select("vec_id", "v", "code", "code_norm", "gap").mapInArrow(run, "query_id long, vec_id long, score double")
+        now: tuple | None = None
+        rows: list[pa.RecordBatch] = []
+        part: Part | None = None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "part", "side")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                *key, side = keys[:, a].tolist()
+                if key != now:
+                    now, rows, part = key, [], None
+                some = batch.slice(a, b - a)
+                if side == 0:
+                    rows.append(some)
+                    continue
+                if part is None and rows:
+                    whole = pa.Table.from_batches(rows).combine_chunks()
+                    codes = np.frombuffer(b"".join(whole.column("code").to_pylist()), dtype=np.uint8).reshape(len(whole), -1)
+                    x = np.concatenate([matrix(c, dim) for c in whole.column("v").chunks])
+                    part, rows = Part(book, k, *(whole.column(c).to_numpy() if c != "v" else x for c in ("id", "v")), codes, *(whole.column(c).to_numpy() for c in ("code_norm", "gap"))), []
+                if part is not None:
+                    yield from search(part, some)
+
+    def search(part: Part, asked: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, q, limit = asked.column("id").to_numpy(), matrix(asked.column("v"), dim), asked.column("gap").to_numpy()
+        for a in range(0, len(ids), 256):
+            tables = book.tables(q[a : a + 256].astype(np.float32))
+            found = [part.search(int(ids[i]), q[i], tables[i - a], float(limit[i]), rerank) for i in range(a, min(a + 256, len(ids)))]
+            near, score = (np.concatenate(v) for v in zip(*found))
+            asker = np.repeat(ids[a : a + 256], [len(n) for n, _ in found])
+            yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return run

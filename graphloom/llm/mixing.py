@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import quoted, unused, written
 
 GOLDEN = (math.sqrt(5) - 1) / 2
+CELLS = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -73,7 +74,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
 
     docs needs doc_id, text and source. Sources by code point, null last, get the weights in turn; their targets share
     the whole size, none above most_repeats times its source. A block holds total / least_slots words, from 1 to
-    most_block. The driver gets one row per source."""
+    most_block. The driver gets one row per source, to share the targets out."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("row_hash"))
@@ -96,17 +97,20 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     placed = prefix_by_bucket(placed, ["s"], "bucket", [F.col("o"), F.col("doc_id"), F.col("row_hash")], "size", "at")
 
     # the schedule: each slot's source by its point, its rank among that source's slots, and so its block
-    edges, share = [], 0.0
-    for t in targets:
-        share += t / total if total else 0.0
-        edges.append(share)
+    shares, share = [], 0.0
+    last = max((i for i, t in enumerate(targets) if t > 0), default=0)
+    for i, t in enumerate(targets):
+        before, share = share, share + (t / total if total else 0.0)
+        if t > 0:  # the last source takes what rounding leaves
+            shares.append((i, before, share if i < last else 2.0))
+    # sources and points meet in equal cells of the unit interval
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1))
+    held = spark.createDataFrame(shares, "s int, low double, high double")
+    held = held.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
     n = F.col("slot")
     point = F.pmod((n + F.lit(0.5)) * F.lit(GOLDEN), F.lit(1.0))
-    # the number of sources' edges at or below the point; the last source with a target takes what rounding leaves
-    last = max((i for i, t in enumerate(targets) if t > 0), default=0)
-    edge = F.array(*[F.lit(e) for e in edges[:last]]) if last else F.array().cast("array<double>")
-    source_at = F.aggregate(edge, F.lit(0), lambda acc, e: acc + F.when(e <= F.col("point"), 1).otherwise(0))
-    schedule = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("s", source_at).withColumn("stretch", (n / F.lit(8192)).cast("long"))
+    points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point).withColumn("cell", cell(F.col("point")))
+    schedule = points.join(held, "cell").filter("low <= point and point < high").withColumn("stretch", (n / F.lit(8192)).cast("long"))
     ranked = prefix_by_bucket(schedule.withColumn("one", F.lit(1).cast("long")).select("slot", "s", "stretch", "one"), ["s"], "stretch", [F.col("slot")], "one", "rank").select("slot", "s", "rank")
     # blocks that a source's target needs beyond its slots: each shares the slot at its even place
     had = ranked.groupBy("s").agg((F.max("rank") + 1).alias("had"))

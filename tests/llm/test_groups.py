@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -69,6 +70,22 @@ def test_packing_plan(n, mean):
     assert sum(k for _, k in plan) <= sum(k for _, k in packing.best_fit(dict(counts), 2048))
 
 
+def test_packing_meets_the_lower_bound():
+    """The lengths of the sf0.01 documents fit into as few sequences as their sum allows."""
+    texts = duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").to_arrow_table().column("text").combine_chunks()
+    counts = Counter()
+    for ids in CachedEncoder(BYTES, True).encode(texts):
+        n = len(ids) // 4 + 1
+        counts.update([2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0))
+    bound = packing.lower_bound(dict(counts), 2048)
+    assert bound >= -(-sum(k * n for k, n in counts.items()) // 2048)
+    assert sum(k for _, k in packing.plan_packing(dict(counts), 2048)) == bound
+
+
+def test_lower_bound_counts_pieces_over_half():
+    assert packing.lower_bound({6: 10}, 10) == 10 and packing.lower_bound({6: 10, 4: 10}, 10) == 10 and packing.lower_bound({}, 10) == 0
+
+
 def test_knapsack_prices():
     rng = random.Random(1)
     for _ in range(20):
@@ -87,7 +104,7 @@ def test_encoder_equals_library():
     texts += ["".join(rng.choice("ab'sl \n\té.,1!²") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     for path, leading in ((BYTES, True), (WORDS, False)):
         encode = CachedEncoder(path, leading, capacity=500)
-        for text, ids in zip(texts, encode.encode(texts)):
+        for text, ids in zip(texts, encode.encode(pa.array(texts))):
             assert np.frombuffer(ids, dtype="<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
@@ -148,24 +165,43 @@ def plain_removal(texts, width):
     return out
 
 
-def digest_row(data, gone):
-    edges = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+def plain_passages(texts, gone, width, words):
+    """gone, and the bytes of strings of whole words, shorter than width, that occur elsewhere too."""
+    found = []
+    for t in texts:
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+        found.append([(a, b) for (a, _), (_, b) in zip(at, at[words - 1 :]) if b - a < width])
+    n = Counter(t[a:b] for t, spans in zip(texts, found) for a, b in spans)
+    out = [g.copy() for g in gone]
+    for t, spans, g in zip(texts, found, out):
+        for a, b in spans:
+            if n[t[a:b]] > 1:
+                g[a:b] = True
+    return out
+
+
+def runs_in(gone):
+    return int((np.diff(np.concatenate([[0], gone.astype(int), [0]])) == 1).sum())
+
+
+def digest_row(data, gone, told):
     kept = bytes(np.frombuffer(data, dtype=np.uint8)[~gone]) if len(data) else b""
-    return len(data), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()
+    return len(data), int(gone.sum()), runs_in(gone), hashlib.sha256(kept).hexdigest(), runs_in(told), int(told.sum())
 
 
 def test_substring_removal(spark, small, documents):
     got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op2_substring_dedup"](spark, small).collect()}
     texts = [(t or "").encode() for _, t, *_ in documents]
-    for (doc_id, *_), data, gone in zip(documents, texts, plain_removal(texts, 400)):
-        assert got[doc_id] == digest_row(data, gone), doc_id
+    removed = plain_removal(texts, 400)
+    for (doc_id, *_), data, gone, told in zip(documents, texts, removed, plain_passages(texts, removed, 400, 51)):
+        assert got[doc_id] == digest_row(data, gone, told), doc_id
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_substring_removal_of_made_up_texts(spark, most):
+@pytest.fixture(scope="module")
+def made_up_texts():
     """Small alphabets, shared passages with changed bytes, periodic texts; with and without crowded anchors."""
     rng = random.Random(4)
-    passage = "".join(rng.choice("abcd") for _ in range(300))
+    passage = "".join(rng.choice("abcd ") for _ in range(300))
     rows = []
     for i in range(120):
         parts = []
@@ -173,14 +209,39 @@ def test_substring_removal_of_made_up_texts(spark, most):
             a = rng.randint(0, 250)
             cut = list(passage[a : a + rng.randint(1, 200)])
             if cut and rng.random() < 0.4:
-                cut[rng.randrange(len(cut))] = "é"
+                cut[rng.randrange(len(cut))] = rng.choice("é  \n")
             parts += ["".join(cut), "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30)))]
         rows.append((i, "".join(parts)))
     rows += [(200, "a" * 500), (201, "ab" * 300), (202, "abc" * 100 + "q"), (203, ""), (204, None), (205, passage), (205, passage), (None, passage[:40]), (206, passage[:39])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, width=40, gram=8, most=most).collect())
-    texts = [(t or "").encode() for _, t in rows]
-    assert got == Counter((d, *digest_row(t, g)) for (d, _), t, g in zip(rows, texts, plain_removal(texts, 40)))
+    return rows
+
+
+@pytest.mark.parametrize("most,words", [(512, 51), (2, 6), (512, 6), (2, 0)])
+def test_substring_removal_of_made_up_texts(spark, made_up_texts, most, words):
+    docs = spark.createDataFrame(made_up_texts, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(docs, width=40, gram=8, words=words, most=most).collect())
+    texts = [(t or "").encode() for _, t in made_up_texts]
+    gone = plain_removal(texts, 40)
+    told = plain_passages(texts, gone, 40, words) if words else gone
+    assert got == Counter((d, *digest_row(t, g, w)) for (d, _), t, g, w in zip(made_up_texts, texts, gone, told))
+
+
+def test_substring_removal_when_digests_collide(spark, made_up_texts, monkeypatch):
+    """Equal digests of different runs: the sort finds out, and another salt is taken."""
+    plain = substring_dedup.digest
+    tried = []
+
+    def weak(data, salt=0):
+        return (len(data) % 2, 0) if salt == 0 else plain(data, salt)
+
+    monkeypatch.setattr(substring_dedup, "digest", weak)
+    spans = substring_dedup.spans
+    monkeypatch.setattr(substring_dedup, "spans", lambda *a: tried.append(a[-1]) or spans(*a))
+    docs = spark.createDataFrame(made_up_texts, "doc_id long, text string")
+    got = Counter(tuple(r)[:5] for r in substring_dedup.remove_repeats(docs, width=40, gram=8, words=0).collect())
+    texts = [(t or "").encode() for _, t in made_up_texts]
+    gone = plain_removal(texts, 40)
+    assert tried == [0, 1] and got == Counter((d, *digest_row(t, g, g)[:4]) for (d, _), t, g in zip(made_up_texts, texts, gone))
 
 
 def test_suffix_sort():
@@ -265,6 +326,10 @@ def test_simhash_links_of_dense_fingerprints(spark):
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({find(p) for p in prints})
 
 
+def test_blocks_follow_the_number_of_fingerprints():
+    assert simhash.cheapest_blocks(1000) == simhash.cheapest_blocks(1_000_000) == 3 and simhash.cheapest_blocks(10**9) == 2
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7)], "u long, v long")
     labels = {r.node: r.label for r in simhash.connected_components(edges).collect()}
@@ -342,6 +407,45 @@ def test_nearest_in_dense_groups(spark, noise):
         assert got == want, found
 
 
+@pytest.mark.parametrize("n", [5_000, 50_000])
+def test_nearest_recall_does_not_hang_on_batches(spark, n):
+    """Clustered vectors, queries sent to as many cells as 0.99 of the sample's neighbours need: the same rows under two
+    batch sizes, and at least 0.9 of the true ones."""
+    rng = np.random.default_rng(n)
+    middles = rng.normal(size=(max(5, n // 500), 32))
+    x = (middles[rng.integers(len(middles), size=n)] + 0.5 * rng.normal(size=(n, 32))).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    path = shared_path(spark, "vectors")
+    frame.write.parquet(path)
+    frame = spark.read.parquet(path)
+    want = brute_nearest(rows)
+    results = []
+    for size in (10_000, 60_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {}
+        for r in ann.nearest(frame, frame.vec_id % 100 == 0, recall=0.99).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        results.append(got)
+    assert results[0] == results[1] and got.keys() == want.keys()
+    found = sum(len(set(got[q]) & {i for i, _ in w}) for q, w in want.items()) / (10 * len(want))
+    assert found >= 0.9, found
+
+
+def test_nearest_among_equal_vectors(spark):
+    """A third of all rows are one vector: ties go to the smaller vec_id, none of the own rows is found."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 8))
+    x[::3] = x[0]
+    rows = list(enumerate(x.tolist()))
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(frame, frame.vec_id % 100 == 0, cell_rows=100, part_bytes=1).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in w] for q, w in brute_nearest(rows).items()}
+
+
 def test_nearest_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0]), (5, [nan, 1.0, 0.0]), (6, [None, 1.0, 0.0]), (7, [1.0]), (100, [0.9, 0.1, 0.0]), (8, []), (None, [1.0, 1.0, 1.0]), (2, [0.0, 1.0, 0.0]), (9, [float("inf"), 0.0, 0.0])]
@@ -355,7 +459,20 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     got = packing.pack_documents(odd, BYTES).collect()
     check_packing(got, [(r[1], r[2]) for r in odd_rows])
     assert packing.pack_documents(empty, BYTES).count() == 0
-    assert substring_dedup.remove_repeats(odd).count() == len(odd_rows) and substring_dedup.remove_repeats(empty).count() == 0
+    assert substring_dedup.remove_repeats(empty).count() == 0
+    texts = [(r[2] or "").encode() for r in odd_rows]
+    gone = plain_removal(texts, 400)
+    want = Counter((r[1], *digest_row(t, g, w)) for r, t, g, w in zip(odd_rows, texts, gone, plain_passages(texts, gone, 400, 51)))
+    assert Counter(map(tuple, substring_dedup.remove_repeats(odd).collect())) == want
+    tokenizer, start, files = Tokenizer.from_file(WORDS), 0, []
+    got = sorted(token_files.token_file_digest(odd, WORDS, False, 2).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[1] for r in odd_rows), key=lambda d: (d is not None, d))
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+        files.append((r.doc_id, r.n_tokens, r.ids_crc32))
+    ids = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+    assert Counter(files) == Counter((r[1], len(ids(r[2])), zlib.crc32(np.array(ids(r[2]), dtype="<u4").tobytes())) for r in odd_rows)
 
 
 def test_pipeline(spark, small, documents):
@@ -376,3 +493,20 @@ def test_pipeline(spark, small, documents):
     assert clean.count() == single.count() and not any(find_secrets(r.text) for r in clean.collect())
     check_packing(packed.collect(), [(r.doc_id, r.text) for r in mixed.collect()])
     assert corpus_pipeline.run(spark, small).count() == packed.count()
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, odd_rows, empty):
+    for frame, name in ((odd, "odd"), (empty, "empty")):
+        folder = shared_path(spark, name)
+        frame.write.parquet(f"{folder}/documents.parquet")
+        packed = corpus_pipeline.run(spark, folder)
+        assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        if name == "empty":
+            assert packed.count() == 0
+            continue
+        texts = {r[1]: r[2] for r in odd_rows if r[1] is not None and r[2] and any(c.isalpha() for c in r[2])}
+        ids = {r.doc_id for r in packed.collect()}
+        assert ids and ids <= set(texts) and not ids & {1, 2, 3, -7}
+        # what is left are whole documents, in gapless sequences
+        rows = [r for r in packed.collect() if r.piece == 0]
+        check_packing(packed.collect(), [(r.doc_id, texts[r.doc_id]) for r in rows])

@@ -147,6 +147,132 @@ def test_mix_takes_targets_where_blocks_are_large(spark):
     assert all(0 <= r.slot < last for r in pieces.select("slot").distinct().collect())
 
 
+def plain_secrets(text):
+    patterns = {"assign": re.compile(secret_scan.ASSIGN, re.I | re.A), "access": re.compile(secret_scan.ACCESS), "hex": re.compile(secret_scan.HEX), "forge": re.compile(secret_scan.FORGE), "package": re.compile(secret_scan.PACKAGE)}
+    out = []
+    for k, p in patterns.items():
+        for m in p.finditer(text or ""):
+            if len(m[2] if k == "assign" else m[0]) >= secret_scan.LEAST[k] if k in secret_scan.LEAST else plain_checksum(m[0]):
+                out.append((k, *m.span()))
+    return sorted(out, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def plain_checksum(token):
+    """The last six characters as a number in base 62 are the CRC-32 of the thirty before."""
+    value = 0
+    for c in token[-6:]:
+        value = 62 * value + secret_scan.BASE62.index(c)
+    return value == zlib.crc32(token[-36:-6].encode())
+
+
+def test_secret_scan_of_tokens_with_checksums(spark):
+    rng = np.random.default_rng(8)
+    letters = list(secret_scan.BASE62)
+
+    def token(prefix, good):
+        body = "".join(rng.choice(letters, 30))
+        value, digits = zlib.crc32(body.encode()) + (0 if good else 1), ""
+        for _ in range(6):
+            value, d = divmod(value, 62)
+            digits = secret_scan.BASE62[d] + digits
+        return prefix + body + digits
+
+    rows = []
+    for i in range(300):
+        parts = [str(rng.choice(["é ", "token=", "x", " ", "\n", "ghp_", "npm_", "password: 'abcdef12' "])) + token(str(rng.choice(["ghp_", "gho_", "npm_", "ghx_"])), bool(rng.integers(2))) + str(rng.choice(["", " ", "a", "."])) for _ in range(3)]
+        rows.append((i, "".join(parts)))
+    got = {r.doc_id: r.spans for r in secret_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: secret_scan.joined(plain_secrets(t)) for i, t in rows}
+    assert got == want and sum("forge" in s for s in want.values()) > 50 and sum("package" in s for s in want.values()) > 50
+
+
+def plain_grams(text):
+    """Counts of n-grams of one to three characters around letters; whatever is no letter is a blank."""
+    s = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    key = lambda *chars: sum(ord(c) << (21 * (len(chars) - 1 - i)) for i, c in enumerate(chars))
+    n = Counter()
+    for i, c in enumerate(s):
+        if c != " ":
+            n[key(c)] += 1
+            n[key(s[i - 1], c, s[i + 1])] += 1
+        if i and (c != " " or s[i - 1] != " "):
+            n[key(s[i - 1], c)] += 1
+    return n
+
+
+def plain_languages(rows, length=400):
+    """(held out, language, score) of rows (doc_id, text, lang) by the out-of-place distance."""
+    held = [d is not None and zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows]
+    totals = {}
+    for (_, t, lang), h in zip(rows, held):
+        if not h and t is not None and lang is not None:
+            totals.setdefault(lang, Counter()).update(plain_grams(t))
+    order = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:length]]
+    profiles = {lang: {g: i for i, g in enumerate(order(totals[lang]))} for lang in sorted(totals) if totals[lang]}
+    out = []
+    for (_, t, _), h in zip(rows, held):
+        own = order(plain_grams(t)) if t and profiles else []
+        if not own:
+            out.append((h, "und", 0.0))
+            continue
+        far = {lang: sum(min(abs(p[g] - i), length) if g in p else length for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=far.get)
+        out.append((h, best, 1 - far[best] / (length * len(own))))
+    return out
+
+
+def test_languages_equal_plain_distances(spark, small, documents, odd, odd_rows):
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in queries.QUERIES["op5_language_id"](spark, small).collect()}
+    for (d, *_), want in zip(documents, plain_languages([d[:3] for d in documents])):
+        assert got[d][:2] == want[:2] and abs(got[d][2] - want[2]) < 1e-12, d
+    rows = [(d, t, lang) for _, d, t, lang, *_ in odd_rows]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:3], round(x[3], 9))
+    assert sorted(map(key, map(tuple, langid.identify_languages(odd).collect()))) == sorted(key((d, *w)) for (d, *_), w in zip(rows, plain_languages(rows)))
+
+
+def test_mix_takes_each_stream_up_to_its_target(spark, small):
+    """Words taken, from the definition: a source's documents in hash order, repeated, up to its whole target."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    shuffled = docs.select("doc_id", "source", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(17)).alias("o")).collect()
+    got = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    for source in {r.source for r in shuffled}:
+        mine = sorted((r.o, r.doc_id) for r in shuffled if r.source == source)
+        total = sum(got[d]["taken"] for _, d in mine)
+        left, taken = total, Counter()
+        assert abs(total - got[mine[0][1]].target) < 1
+        while left:
+            for _, d in mine:
+                k = min(left, got[d]["size"])
+                taken[d] += k
+                left -= k
+        assert all(got[d]["taken"] == taken[d] for _, d in mine), source
+
+
+def plain_probability(model, text):
+    """The model's probability with features hashed one by one."""
+    words = (text or "").encode().split()
+    bucket = lambda key: (key * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - quality.BITS)
+    h = [zlib.crc32(w) for w in words]
+    kinds = [[bucket(x | 1 << 40) for x in h], [bucket((a * 0xC2B2AE3D27D4EB4F % (1 << 64)) ^ b) for a, b in zip(h, h[1:])], []]
+    for i, w in enumerate(words):
+        s = b" " + w + b" "
+        for n, tag in ((3, 3 << 40), (4, 4 << 40)):
+            kinds[2] += [bucket(int.from_bytes(s[j : j + n], "little") | tag) for j in range(len(s) - n + 1)]
+    z = sum(quality.SCALE * sum(model.weights[k] for k in some) / len(some) for some in kinds if some)
+    return 1 / (1 + np.exp(-(model.a * (z + model.bias) + model.b)))
+
+
+def test_quality_equals_plain_scores(spark, small, documents):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r for r in quality.judge_quality(docs, labels).collect()}
+    for d, t, *_ in documents:
+        p = plain_probability(model, t)
+        assert abs(got[d].probability - p) < 1e-9 and got[d].kept == (not got[d].base_failed and p >= 0.5), d
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     n = len(odd_rows)
     labels = spark.createDataFrame([(1, 1), (4, 0), (None, 1), (5, 1), (5, 0)], "doc_id long, quality int")
@@ -158,6 +284,15 @@ def test_odd_rows(spark, odd, odd_rows, empty):
     assert all(r.taken <= 3 * r["size"] for r in mix) and sum(r.taken for r in mix) > 0
     clean = secret_scan.redact_documents(odd)
     assert clean.columns == odd.columns and clean.count() == n
+    assert Counter((r.doc_id, r.spans) for r in secret_scan.scan_documents(odd).collect()) == Counter((r[1], secret_scan.joined(plain_secrets(r[2]))) for r in odd_rows)
+    judged = Counter((r.doc_id, r.n_words, r.word_chars, r.n_dup_lines) for r in quality.judge_quality(odd, labels).collect())
+    words = lambda t: WORD.findall(t or "")
+    assert judged == Counter((r[1], len(words(r[2])), sum(map(len, words(r[2]))), 0) for r in odd_rows)
+    assert Counter((r.doc_id, r["size"], r.source) for r in mix) == Counter((r[1], len(words(r[2])), r[4]) for r in odd_rows)
+    for stage in (langid.keep_identified, secret_scan.redact_documents, mixing.mixed_documents):
+        assert stage(empty).columns == empty.columns and stage(empty).count() == 0
+    same = [f for f in odd.columns if f not in ("text", "n_chars")]
+    assert Counter(tuple(r[c] for c in same) for r in clean.collect()) == Counter(tuple(r[c] for c in same) for r in odd.collect())
     assert {r.text for r in langid.keep_identified(odd).collect()} <= {r[2] for r in odd_rows if r[2] and r[2].strip()}
     assert mixing.mixed_documents(odd).columns == odd.columns
 

@@ -341,7 +341,9 @@ def unpacked(place: Column) -> tuple[Column, Column, Column]:
 
 def text_runs(texts: DataFrame, width: int, gram: int, words: int, salt: int) -> DataFrame:
     """t1, t2, place (first place, number of places and anchor's distance in one number), h (anchor hash), s1 and s2
-    (digest) of all runs. Copies of a text that one task meets give their runs once."""
+    (digest) of runs. Copies of a text that one task meets give their runs once. Of equal runs of one text, such as
+    periodic text has for every period, two are rows of their own; what the others cover, compared byte by byte, comes
+    as spans: h null, from place to s1, of width bytes where s2 is 1, else of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -356,9 +358,30 @@ def text_runs(texts: DataFrame, width: int, gram: int, words: int, salt: int) ->
                     if key not in seen:
                         seen.add(key)
                         data = text.encode()
+                        met: dict[tuple, list] = {}
+                        before, s, more = (None, b""), (0, 0), []
                         for x, nw, a, h in runs_of(data, width, gram, words):
+                            string = data[x : x + nw + width - 1]
                             told = (nw << 1 | begins_word(data, x)).to_bytes(2, "little")
-                            rows.append((*key, (x << 24) | (nw << 12) | a, h, *digest(data[x : x + nw + width - 1] + told, salt)))
+                            if before != (told, string):
+                                before, s = (told, string), digest(string + told, salt)
+                            equal = met.setdefault((h, *s), [x, 0])
+                            equal[1] += 1
+                            if equal[1] > 2 and data.startswith(string, equal[0]):
+                                more.append((x, x + nw))
+                            else:
+                                rows.append((*key, (x << 24) | (nw << 12) | a, h, *s))
+                        if more:
+                            starts, ends = passages_of(np.frombuffer(data, dtype=np.uint8), width, words)
+                            for x, to in merged(more):
+                                last = min(to, len(data) - width + 1)
+                                if last > x:
+                                    rows.append((*key, x, None, last - 1 + width, 1))
+                                some = slice(*np.searchsorted(starts, (x, to)).tolist())
+                                rows += [(*key, b, None, e, 0) for b, e in merged(list(zip(starts[some].tolist(), ends[some].tolist())))]
+                        if len(rows) > 100_000:
+                            yield record_batch(schema, zip(*rows))
+                            rows = []
                 if rows:
                     yield record_batch(schema, zip(*rows))
 
@@ -568,7 +591,9 @@ def spans(docs: DataFrame, width: int, gram: int, words: int, most: int, salt: i
     latter (t1, t2, first, end, whole). None if two different runs have one digest."""
     rows = texts_of(docs)
     long_rows = rows.filter(F.octet_length("text") >= (min(width, 2 * words - 1) if words else width)).select(*text_key(F.col("sha")), "text")
-    runs = written(text_runs(long_rows, width, gram, words, salt), "runs")
+    told = written(text_runs(long_rows, width, gram, words, salt), "runs")
+    runs = told.filter("h is not null")
+    own = told.filter("h is null").select(*KEY, F.col("place").alias("first"), F.col("s1").alias("end"), (F.col("s2") == 1).alias("whole"))
     # most anchor hashes occur once; what follows is about the others
     met_twice = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     runs = written(runs.join(met_twice, "h", "left_semi"), "runs")
@@ -593,6 +618,7 @@ def spans(docs: DataFrame, width: int, gram: int, words: int, most: int, salt: i
     found = written(compare(gather(suspects, width, "sorts"), width, words), "found")
     if not found.filter("first < 0").isEmpty():
         return None
+    found = found.unionByName(own)
     crowd = suspects.filter(F.exists("items", lambda r: r["crowded"]))
     if not crowd.isEmpty():
         found = found.unionByName(compare_crowded(gather(crowd, width, "crowded", packed=False), width, gram, words, most))
